@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terselake.llm import quality, simhash, toxicity
+from terselake.llm import decontaminate, quality, secrets, simhash, toxicity
 from terselake.llm.common import held_out, table
 
 
@@ -17,10 +17,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, model), 0.3)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -33,7 +42,9 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
 }
 
