@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terselake.llm import byte_bpe, decontaminate, quality, secrets, simhash, toxicity
+from terselake.llm import byte_bpe, decontaminate, id_store, quality, secrets, simhash, toxicity
 from terselake.llm.common import held_out, table
 
 
@@ -37,6 +37,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), 0.5)
 
 
+def op9_id_store(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    store = id_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+    return id_store.checksums(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_id_store": op9_id_store,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
