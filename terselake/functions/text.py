@@ -58,8 +58,8 @@ def format_num(n: Column) -> Column:
 
 def human_bytes(n: Column) -> Column:
     return (
-        F.when(n >= 1 << 20, F.concat(F.format_string("%.1f", n / float(1 << 20)), F.lit("MB")))
-        .when(n >= 1 << 10, F.concat(F.format_string("%.1f", n / 1024.0), F.lit("KB")))
+        F.when(n >= 1 << 20, F.concat(F.format_string("%.1f", F.bround(n / float(1 << 20), 1)), F.lit("MB")))
+        .when(n >= 1 << 10, F.concat(F.format_string("%.1f", F.bround(n / 1024.0, 1)), F.lit("KB")))
         .otherwise(F.concat(n.cast("string"), F.lit("B")))
     )
 
