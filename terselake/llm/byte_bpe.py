@@ -9,7 +9,7 @@ a token could still be under way has it in its history; that lookahead is bounde
 longest token. States and transitions are made when first needed and start again when their
 store is full.
 
-Pieces between white space are kept in a bounded memo (whole paths through the transducer). The
+Stretches between spaces are kept in a bounded table (whole paths through the transducer). The
 decoder joins token bytes and decodes them with an incremental UTF-8 state machine that holds back
 the bytes of an unfinished character.
 
@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import tee
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terselake.llm import common
+from terselake.llm.word_table import WordTable
 
 #: Bounds of a worker's stores.
-_STATES, _PAIRS, _PIECES = 300_000, 400_000, 400_000
+_STATES, _PAIRS, _PIECES = 400_000, 400_000, 500_000
 
+#: A piece of at most so many bytes is within the lookahead as a whole.
+_LOOKAHEAD = 64
 _NEVER = 1 << 60
 _BYTE = [bytes((k,)) for k in range(256)]
 _IDS = struct.Struct("<I")
@@ -45,23 +50,30 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) }
 
 
+# Fixed value: the widespread splitting pattern, for which letters and the marks after them are two pieces.
+USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.node = dict.fromkeys(self.prefixes, -1) | ranks  # the token at each node of the tokens' trie, or -1
         self.halves = common.BoundedMemo(self._halves_of, len(ranks))
         self.compatible = common.BoundedMemo(self._compatible, _PAIRS)
+        self.arcs: dict[tuple[int, bytes], int] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[tuple[int, bytes], int] = {}
-        self.settled: list[int] = []  # of each state: its last settled token, -1 at the start
-        self.pending: list[bytes] = []
-        self.last: list[tuple[int, ...]] = []  # last token at each place of the pending bytes; -2 where no live history ends
+        #: Of each state: its last settled token (-1 at the start), the bytes since then, the last token at
+        #: each place in them (-2 where no live history ends), and the places where a token may be under way.
+        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
         self.step: dict[int, tuple[int, bytes]] = _Steps(self)
-        self._state(-1, b"", ())
+        self._state(-1, b"", (), ())
 
     def _merge(self, data: bytes, until: int) -> list[bytes]:
         """Plain BPE of one token's bytes, down to `until` parts: the least-ranked pair merges first, of equals the left one."""
@@ -103,13 +115,11 @@ class Transducer:
             else:
                 limit, b = b + 1, of_b[0]
 
-    def _state(self, settled: int, pending: bytes, last: tuple[int, ...]) -> int:
+    def _state(self, settled: int, pending: bytes, last: tuple[int, ...], live: tuple[int, ...]) -> int:
         key = (settled, pending)
         if (k := self.number.get(key)) is None:
-            k = self.number[key] = len(self.pending)
-            self.settled.append(settled)
-            self.pending.append(pending)
-            self.last.append(last)
+            k = self.number[key] = len(self.states)
+            self.states.append((settled, pending, last, live))
         return k
 
     def _history(self, last: tuple[int, ...], at: int) -> list[int]:
@@ -121,32 +131,33 @@ class Transducer:
         return out[::-1]
 
     def transition(self, key: int) -> tuple[int, bytes]:
-        state = key >> 8
-        pending, last, settled = self.pending[state] + _BYTE[key & 255], self.last[state], self.settled[state]
-        get, compatible, length, n = self.ranks.get, self.compatible, self.length, len(last) + 1
-        token = get(pending)
-        if token is None or not compatible[settled, token]:
-            for start in range(1, n):
-                left = last[start - 1]
-                if left != -2 and (token := get(pending[start:])) is not None and compatible[left, token]:
-                    break
-            else:
-                token = -2
+        settled, pending, last, live = self.states[key >> 8]
+        n = len(pending)
+        pending += _BYTE[key & 255]
+        get, prefixes, token, under_way = self.ranks.get, self.prefixes, -2, []
+        for start in (*live, n):  # from the first on: the longest token first
+            part = pending[start:]
+            if token == -2 and (t := get(part)) is not None and self.compatible[last[start - 1] if start else settled, t]:
+                token = t
+            if part in prefixes:
+                under_way.append(start)
+        n += 1
         last = (*last, token)
-        prefixes = self.prefixes
-        if pending in prefixes:  # a token may still start at the settled boundary
-            return self._state(settled, pending, last), b""
-        # the last boundary that all places where a token may be under way share
-        places = {k for k in range(1, n) if last[k - 1] != -2 and pending[k:] in prefixes}
-        places.add(n)
+        if under_way and under_way[0] == 0:  # a token may still start at the settled boundary
+            return self._state(settled, pending, last, tuple(under_way)), b""
+        # the last boundary that lies on the history of all places where a token is under way or may start
+        length, places = self.length, {n, *under_way}
         while len(places) > 1:
             k = max(places)
             places.remove(k)
             places.add(k - length[last[k - 1]])
         cut = places.pop()
         if not cut:
-            return self._state(settled, pending, last), b""
+            return self._state(settled, pending, last, tuple(under_way)), b""
         out = self._history(last, cut)
+        emitted = _IDS.pack(out[0]) if len(out) == 1 else b"".join(map(_IDS.pack, out))
+        if cut == n:
+            return self._state(token, b"", (), ()), emitted
         rest, joined = [], {cut}  # places whose history misses the new boundary are dead
         for k in range(cut + 1, n + 1):
             t = last[k - 1]
@@ -155,15 +166,70 @@ class Transducer:
                 rest.append(t)
             else:
                 rest.append(-2)
-        return self._state(out[-1], pending[cut:], tuple(rest)), _IDS.pack(out[0]) if len(out) == 1 else b"".join(map(_IDS.pack, out))
+        return self._state(out[-1], pending[cut:], tuple(rest), tuple([k - cut for k in under_way if k in joined])), emitted
 
     def rest(self, state: int) -> bytes:
-        last = self.last[state]
+        last = self.states[state][2]
         return b"".join(map(_IDS.pack, self._history(last, len(last))))
 
+    def _candidates(self, data: bytes, at: int) -> list[int]:
+        """The tokens that start here, the longest last."""
+        get, out = self.node.get, []
+        for end in range(at + 1, len(data) + 1):
+            t = get(data[at:end])
+            if t is None:
+                break
+            if t >= 0:
+                out.append(t)
+        return out
+
+    def _search(self, settled: int, data: bytes) -> list[int]:
+        """The one sequence of compatible tokens from a settled token to the end: depth first, longest first."""
+        compatible, length, arcs, n = self.compatible, self.length, self.arcs, len(data)
+        path, places, options, dead = [settled], [0], [self._candidates(data, 0)], set()
+        while places[-1] < n:
+            if not options[-1]:  # no way on: the token before is not the one
+                options.pop()
+                dead.add((places.pop(), path.pop()))
+                continue
+            t = options[-1].pop()
+            after = places[-1] + length[t]
+            if (after, t) not in dead and compatible[path[-1], t]:
+                path.append(t)
+                places.append(after)
+                while (u := arcs.get((t, data[after:]))) is not None:  # from here on the arcs are known
+                    path.append(u)
+                    after, t = after + length[u], u
+                if after == n:
+                    break
+                del path[len(places):]
+                after = places[-1]
+                options.append(self._candidates(data, after) if after < n else [])
+        return path[1:]
+
+    def _ahead(self, data: bytes) -> bytes:
+        """A piece within the lookahead: arcs lead from (settled token, bytes ahead) to the next token."""
+        arcs, length, settled, out = self.arcs, self.length, -1, []
+        while data:
+            token = arcs.get((settled, data))
+            if token is None:
+                found = self._search(settled, data)
+                if len(arcs) > _STATES:
+                    arcs.clear()
+                for token in found:
+                    arcs[settled, data] = token
+                    data, settled = data[length[token]:], token
+                out += found
+                break
+            out.append(token)
+            data, settled = data[length[token]:], token
+        return struct.pack(f"<{len(out)}I", *out)
+
     def encode(self, data: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if len(self.pending) > _STATES:
+        if len(data) <= _LOOKAHEAD:
+            return self._ahead(data)
+        if len(self.states) > _STATES:
             self._reset()
         state, out, step = 0, [], self.step
         for byte in data:
@@ -212,31 +278,40 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.memo = common.BoundedMemo(self._stretch, _PIECES)
+        self.usual = pattern == USUAL
         self.piece = common.BoundedMemo(lambda p: self.transducer.encode(p.encode("utf-8")), _PIECES)
+        self.table = WordTable(self._stretch, np.dtype("<u4"))
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.pieces(text)))
 
-    def _stretch(self, stretch: str) -> bytes:
-        body = stretch[1:] if stretch[:1] == " " else stretch
-        if not body or body[0].isspace() or body[-1].isspace():
-            raise _Touching
+    def _stretch(self, data: bytes, first: bool) -> bytes | None:
+        """The ids of a stretch with the space before it; None if white space stands at either end."""
+        stretch = data.decode("utf-8")
+        if not stretch:
+            return b"" if first else None
+        if stretch[0].isspace() or stretch[-1].isspace():
+            return None
+        if not first:
+            stretch = " " + stretch
+        if self.usual and (m := _PLAIN.fullmatch(stretch)):
+            return self.piece[m[1]] + (self.piece[m[2]] if m[2] else b"")
         return self._pieces(stretch)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit numbers.
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each whole text.
 
         A space between two characters that are no white space always starts a piece, so the
-        stretches between such spaces are independent of one another.
+        stretches between such spaces are independent of one another; a text with white space
+        beside a space is cut into pieces as a whole.
         """
-        if not text:
-            return b""
-        first, *others = text.split(" ")
-        try:
-            return b"".join([self.memo[first], *map(self.memo.__getitem__, map(" ".__add__, others))])
-        except _Touching:  # white space beside a space: piece by piece
-            return self._pieces(text)
+        texts, again = tee(texts)
+        for ids, text in zip(self.table.ids(texts), again, strict=True):
+            yield np.frombuffer(self._pieces(text), "<u4") if ids is None else ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text as little-endian unsigned 32-bit numbers."""
+        return next(self.encode_all([text])).tobytes()
 
     def decode(self, ids: Iterable[int]) -> Iterator[tuple[bytes, str]]:
         """Chunks of bytes and of the characters that they complete."""
@@ -247,10 +322,6 @@ class ByteBpe:
         stream.close()
 
 
-class _Touching(Exception):
-    """A stretch that begins or ends with white space."""
-
-
 _coders: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -271,12 +342,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batch: pa.RecordBatch):
         c = coder(sent.value, pattern)
         n, ids_sha, decoded_sha, chars = [], [], [], []
-        for text in common.texts_of(batch, "text"):
-            ids = c.encode(text)
-            n.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
+        for ids in c.encode_all(common.texts_of(batch, "text")):
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
             digest, length = hashlib.sha256(), 0
-            for data, done in c.decode(np.frombuffer(ids, "<u4").tolist()):
+            for data, done in c.decode(ids.tolist()):
                 digest.update(data)
                 length += len(done)
             decoded_sha.append(digest.hexdigest())

@@ -66,16 +66,24 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str]:
 
 
 class BoundedMemo(dict):
-    """A dict that computes missing values and starts again when it is full, so that it stays bounded."""
+    """A dict that computes missing values and stays bounded.
+
+    When it holds ``limit`` entries it becomes the older of two generations; entries that are asked
+    for again come back from there, the others go with the next change.
+    """
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.older = self.copy()
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
