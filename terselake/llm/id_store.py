@@ -25,10 +25,11 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terselake.llm import common
+from terselake.llm.word_table import WordTable
 
 END_ID = 1
 #: Rolling window, expected, least and greatest length of a chunk in ids.
@@ -44,15 +46,33 @@ ROLL, MEAN_BITS, LEAST, GREATEST = 16, 9, 128, 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TURN = np.uint64(0xD6E8FEB86659FD93)
-_STRETCHES, _WORDS = 500_000, 300_000
-_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")  # ASCII letters, then punctuation without the apostrophe
+_WORDS = 200_000
+#: Latin letters that are stable under NFC, then ASCII punctuation without the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_characters() -> list[str]:
+    """The printable character that stands for each byte: itself in Latin-1, or the next one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+_CHARACTERS = _byte_characters()
+
+
+def id_width(raw: bytes) -> int:
+    """Bytes of an id: 2 if all ids of the tokenizer file fit."""
+    made = json.loads(raw)
+    top = max([*made["model"]["vocab"].values(), *(t["id"] for t in made.get("added_tokens", []))])
+    return 2 if top < 1 << 16 else 4
 
 
 class Encoder:
     """ids of whole texts; stretches between plain spaces are independent for this kind of tokenizer.
 
     Its splitting pattern removes white space and no match crosses it, so the ids of a text are those
-    of its space-separated stretches in a row, which a bounded memo keeps.
+    of its space-separated stretches in a row, which a bounded table keeps.
     """
 
     def __init__(self, raw: bytes):
@@ -61,22 +81,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.width = id_width(raw)
         self.dtype = np.dtype(f"<u{self.width}")
-        self.end = np.array([END_ID], self.dtype).tobytes()
-        self.word = common.BoundedMemo(self._ids, _WORDS)
-        self.memo = common.BoundedMemo(self._stretch, _STRETCHES)
+        # one pre-token of a byte-level model; only files of this make take the direct way
+        made = json.loads(raw)
+        kinds = [x["type"] for x in made["pre_tokenizer"].get("pretokenizers", [])] if made.get("pre_tokenizer") else []
+        lowers = any(x["type"] == "Lowercase" for x in (made.get("normalizer") or {}).get("normalizers", []))
+        self.direct = kinds == ["Split", "ByteLevel"] and lowers
+        self.model = self.tokenizer.model
+        self.word = common.BoundedMemo(self._piece, _WORDS)
+        self.table = WordTable(self._stretch, self.dtype)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _stretch(self, stretch: str) -> bytes:
-        if m := _PLAIN.fullmatch(stretch):  # letters and marks are pieces of their own, and case is dropped
+    def _piece(self, piece: str) -> bytes:
+        """The ids of letters or of marks, which the splitting pattern keeps as one pre-token."""
+        spelled = piece if piece.isascii() else "".join([_CHARACTERS[b] for b in piece.encode()])
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+
+    def _stretch(self, data: bytes, first: bool) -> bytes:
+        stretch = data.decode("utf-8", "surrogatepass")
+        if self.direct and (m := _PLAIN.fullmatch(stretch)):  # letters and marks are pieces of their own, and case is dropped
             return self.word[m[1].lower()] + (self.word[m[2]] if m[2] else b"")
         return self._ids(stretch)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.split(" "))) + self.end
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, the end id last."""
+        end = np.array([END_ID], self.dtype)
+        for ids in self.table.ids(texts):
+            yield np.concatenate([ids, end])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -162,16 +196,14 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_t
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
         raw = f.read()
-    store = Store(path or common.shared_dir(spark, "id-store"), encoder(raw).width)
+    store = Store(path or common.shared_dir(spark, "id-store"), id_width(raw))
     sent = spark.sparkContext.broadcast(raw)  # the tokenizer file, whatever the data
 
     def encode(batch: pa.RecordBatch):
         e = encoder(sent.value)
         n, digests, lengths, streams = [], [], [], []
-        for text in common.texts_of(batch, "text"):
-            stream = e.encode(text)
-            ids = np.frombuffer(stream, e.dtype)
-            ends = cut(ids)
+        for ids in e.encode_all(common.texts_of(batch, "text")):
+            stream, ends = ids.tobytes(), cut(ids)
             n.append(len(ids))
             digests.append([address(stream[a * e.width:b * e.width]) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
             lengths.append(np.diff([0, *ends]).tolist())
@@ -252,13 +284,15 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_t
 
 def _rank(value, edges, n: int):
     """The number of edges at or below value, by binary search in the sorted array: log2(n) steps, not n comparisons."""
-    lo = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1) if n else 0
-    while step:
+    def search(lo, step: int):
+        if not step:
+            return lo
         probe = lo + F.lit(step)
-        lo = F.when((probe <= n) & (F.get(edges, probe - 1) <= value), probe).otherwise(lo)
-        step >>= 1
-    return F.when(value.isNotNull(), lo)
+        better = F.when((probe <= n) & (F.get(edges, probe - 1) <= value), probe).otherwise(lo)
+        # bound as a lambda variable, so that the expression stays linear in the steps
+        return F.element_at(F.transform(F.array(better), lambda x: search(x, step >> 1)), 1)
+
+    return F.when(value.isNotNull(), search(F.lit(0), 1 << (n.bit_length() - 1) if n else 0))
 
 
 def streams(spark: SparkSession, store: Store) -> DataFrame:
