@@ -36,7 +36,7 @@ from terselake.llm import common
 from terselake.llm.word_table import WordTable
 
 #: Bounds of a worker's stores.
-_STATES, _PAIRS, _PIECES = 400_000, 400_000, 500_000
+_STATES, _PAIRS, _PIECES = 200_000, 200_000, 150_000
 
 #: A piece of at most so many bytes is within the lookahead as a whole.
 _LOOKAHEAD = 64
@@ -54,6 +54,8 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
+_TWO_LINES = re.compile(_PLAIN.pattern + "(\n)" + _PLAIN.pattern.replace(" ?", "", 1))
+
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
@@ -294,8 +296,11 @@ class ByteBpe:
             return None
         if not first:
             stretch = " " + stretch
-        if self.usual and (m := _PLAIN.fullmatch(stretch)):
-            return self.piece[m[1]] + (self.piece[m[2]] if m[2] else b"")
+        if self.usual:
+            if m := _PLAIN.fullmatch(stretch):
+                return self.piece[m[1]] + (self.piece[m[2]] if m[2] else b"")
+            if (m := _TWO_LINES.fullmatch(stretch)):  # a line feed between other characters is a piece
+                return b"".join([self.piece[x] for x in m.groups() if x])
         return self._pieces(stretch)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
@@ -322,15 +327,10 @@ class ByteBpe:
         stream.close()
 
 
-_coders: dict[tuple[str, str], ByteBpe] = {}
-
-
 def coder(raw: bytes, pattern: str) -> ByteBpe:
     """One coder for each rank file and pattern in a worker."""
     key = (hashlib.sha256(raw).hexdigest(), pattern)
-    if key not in _coders:
-        _coders[key] = ByteBpe(read_ranks(raw), pattern)
-    return _coders[key]
+    return common.kept_in_worker(key, lambda: ByteBpe(read_ranks(raw), pattern))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

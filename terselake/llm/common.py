@@ -65,6 +65,21 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str]:
         yield value.as_py() or ""
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key, make: Callable):
+    """make(), kept for this worker's next batches.
+
+    Workers are used again by later stages; only one value is kept at a time, so that the tables of
+    different operators do not add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class BoundedMemo(dict):
     """A dict that computes missing values and stays bounded.
 

@@ -281,11 +281,11 @@ def _features(n: Nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class GbtParams:
-    pages: int = 500
+    pages: int = 800
     trees: int = 40
     depth: int = 4
     rate: float = 0.3
-    least_weight: float = 2.0
+    least_weight: float = 6.0
     ridge: float = 1.0
     bins: int = 32
     seed: int = 3
@@ -392,7 +392,8 @@ def generated_page(r: random.Random) -> str:
         return " ".join(w + noise for w in words).capitalize() + "."
 
     text = lambda low, high: " ".join(sentence() for _ in range(r.randint(low, high)))
-    links = lambda n: "".join(f'<li><a href="/{(w := word())}">{w}</a></li>' for _ in range(n))
+    label = lambda: " ".join(word() for _ in range(r.choice([1, 1, 1, 2, 4]))) + r.choice(["", "", "", ",", ".", "!!", "%%%"])
+    links = lambda n: "".join(f'<li><a href="/{(w := label())}">{w}</a></li>' for _ in range(n))
 
     def marked(tag: str, names: list[str], inside: str, label: str = "") -> str:
         attr = ""
@@ -423,7 +424,8 @@ def generated_page(r: random.Random) -> str:
     footer = lambda: either("footer", ["footer", "site-footer", "copyright", "legal"], r.choice([f"&copy; {word()} &middot; {sentence()}", f"<p>{text(1, 3)}</p>", f"<ul>{links(4)}</ul>"]), drop)
 
     def blocks() -> str:
-        out = [f"<h1>{sentence(2, 9)}</h1>"] if r.random() < 0.8 else []
+        title = f"<h1>{sentence(2, 9)}</h1>"
+        out = [r.choice([title, title, title, title, f"<header>{title}</header>"])] if r.random() < 0.8 else []
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
             if kind < 0.74:
@@ -457,7 +459,7 @@ def generated_page(r: random.Random) -> str:
     elif r.random() < 0.3:
         main = f'<div class="{r.choice(["wrapper", "container", "page", "layout"])}">{main}{sidebar() if r.random() < 0.5 else ""}</div>'
     if r.random() < 0.05:  # a bare page
-        return f'<html><body data-y="1">{inside}</body></html>'
+        return f'<html><body data-y="1">{r.choice([inside, text(1, 6)])}</body></html>'
     before = [f() for f in (header, nav, advert, notice, form) if r.random() < 0.45]
     after = [f() for f in (comments, advert, sidebar, form, notice, nav) if r.random() < 0.3]
     r.shuffle(before)

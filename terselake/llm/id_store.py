@@ -29,6 +29,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 _WORDS = 200_000
+#: Ids cut at once; a longer stream goes alone.
+_AT_ONCE = 50_000
 #: Latin letters that are stable under NFC, then ASCII punctuation without the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -82,7 +85,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = id_width(raw)
-        self.dtype = np.dtype(f"<u{self.width}")
+        self.dtype, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         # one pre-token of a byte-level model; only files of this make take the direct way
         made = json.loads(raw)
         kinds = [x["type"] for x in made["pre_tokenizer"].get("pretokenizers", [])] if made.get("pre_tokenizer") else []
@@ -93,12 +96,12 @@ class Encoder:
         self.table = WordTable(self._stretch, self.dtype)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """The ids of letters or of marks, which the splitting pattern keeps as one pre-token."""
         spelled = piece if piece.isascii() else "".join([_CHARACTERS[b] for b in piece.encode()])
-        return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _stretch(self, data: bytes, first: bool) -> bytes:
         stretch = data.decode("utf-8", "surrogatepass")
@@ -109,18 +112,14 @@ class Encoder:
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, the end id last."""
         end = np.array([END_ID], self.dtype)
-        for ids in self.table.ids(texts):
+        # a line feed is white space like a space to these tokenizers, so lines split as well
+        spaced = (t.replace("\n", " ") for t in texts) if self.direct else texts
+        for ids in self.table.ids(spaced):
             yield np.concatenate([ids, end])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(raw: bytes) -> Encoder:
-    key = hashlib.sha256(raw).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = Encoder(raw)
-    return _encoders[key]
+    return common.kept_in_worker(hashlib.sha256(raw).hexdigest(), lambda: Encoder(raw))
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -134,31 +133,40 @@ def _power_rows(n: int) -> list[np.ndarray]:
     return [p[:n] for p in _powers]
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash of the last ROLL ids is rare, within bounds."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    up, down = _power_rows(n)
+def cuts(ids: np.ndarray, starts: list[int]) -> list[list[int]]:
+    """Ends of the chunks of some id streams that lie one after another: where the rolling hash of
+    the last ROLL ids of a stream is rare, within bounds. Ends count from the stream's own start."""
+    up, down = _power_rows(len(ids))
     total = np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * down)  # of id[k] * base**-k, modulo 2**64
-    rolled = total[ROLL - 1:].copy()
-    rolled[1:] -= total[:-ROLL]
-    rolled *= up[ROLL - 1:]
-    rare = np.flatnonzero((rolled * _TURN) >> np.uint64(64 - MEAN_BITS) == 0) + ROLL
-    ends, at = [], 0
-    for end in rare.tolist():
-        while end - at > GREATEST:
+    rolled = total.copy()
+    rolled[ROLL:] -= total[:-ROLL]
+    rolled *= up
+    rare = np.flatnonzero((rolled * _TURN) >> np.uint64(64 - MEAN_BITS) == 0) + 1
+    stops = [*starts[1:], len(ids)]
+    # an end less than LEAST >= ROLL ids from a stream's start is not used, so no window reaches into the stream before
+    first, last = np.searchsorted(rare, np.add(starts, LEAST)).tolist(), np.searchsorted(rare, stops, side="right").tolist()
+    places, out = rare.tolist(), []
+    for start, stop, a, b in zip(starts, stops, first, last, strict=True):
+        n, ends, at = stop - start, [], 0
+        for place in places[a:b]:
+            end = place - start
+            while end - at > GREATEST:
+                at += GREATEST
+                ends.append(at)
+            if end - at >= LEAST:
+                ends.append(end)
+                at = end
+        while n - at > GREATEST:
             at += GREATEST
             ends.append(at)
-        if end - at >= LEAST:
-            ends.append(end)
-            at = end
-    while n - at > GREATEST:
-        at += GREATEST
-        ends.append(at)
-    if at < n:
-        ends.append(n)
-    return ends
+        if at < n:
+            ends.append(n)
+        out.append(ends)
+    return out
+
+
+def cut(ids: np.ndarray) -> list[int]:
+    return cuts(ids, [0])[0]
 
 
 def address(chunk: bytes) -> bytes:
@@ -202,12 +210,27 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_t
     def encode(batch: pa.RecordBatch):
         e = encoder(sent.value)
         n, digests, lengths, streams = [], [], [], []
+        held: list[np.ndarray] = []
+
+        def flush():
+            sizes = [len(x) for x in held]
+            for ids, ends in zip(held, cuts(np.concatenate(held), np.cumsum([0, *sizes[:-1]]).tolist()), strict=True):
+                stream, begins = ids.tobytes(), [0, *ends[:-1]]
+                n.append(len(ids))
+                digests.append([address(stream[a * e.width:b * e.width]) for a, b in zip(begins, ends, strict=True)])
+                lengths.append([b - a for a, b in zip(begins, ends, strict=True)])
+                streams.append(stream)
+            held.clear()
+
+        size = 0
         for ids in e.encode_all(common.texts_of(batch, "text")):
-            stream, ends = ids.tobytes(), cut(ids)
-            n.append(len(ids))
-            digests.append([address(stream[a * e.width:b * e.width]) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-            lengths.append(np.diff([0, *ends]).tolist())
-            streams.append(stream)
+            held.append(ids)
+            size += len(ids)
+            if size >= _AT_ONCE:
+                flush()
+                size = 0
+        if held:
+            flush()
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(streams, pa.binary())],
             [c.split()[0] for c in _STAGED.split(", ")],

@@ -38,6 +38,8 @@ from terselake.llm import common
 BITS, MAX_DIFF, WORDS = 64, 4, 4
 #: (first bit from the top, length) of the blocks that the rotations bring to the front.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Groups up to this size are never split.
+LEAST_SPLIT = 1024
 #: Node pairs held at once by a traversal.
 _FRONTIER = 2_000_000
 
@@ -210,7 +212,7 @@ def link_edges(prints: DataFrame) -> DataFrame:
     spark = prints.sparkSession
     n = prints.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(BLOCKS) // 400_000)
-    limit = max(1024, n * len(BLOCKS) // parts)  # rows of a group beyond which it is split: an average partition
+    limit = max(LEAST_SPLIT, n * len(BLOCKS) // parts)  # rows of a group beyond which it is split: an average partition
     dealt = prints.select("fp", F.explode(_rotations(F.col("fp"))).alias("r")).select("fp", "r.*")
     large = (
         dealt.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > limit)

@@ -107,18 +107,13 @@ class Counter:
         return score, tokens
 
 
-_counters: dict[int, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, score`` of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary, whatever the data
 
     def run(batch: pa.RecordBatch):
-        key = hash(sent.value)
-        if key not in _counters:
-            _counters[key] = Counter(sent.value)
-        found = [_counters[key].count(t) for t in common.texts_of(batch, "text")]
+        counter = common.kept_in_worker(sent.value, lambda: Counter(sent.value))
+        found = [counter.count(t) for t in common.texts_of(batch, "text")]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for _, c in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], ["doc_id", "n_tokens", "score"])
 
     return common.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, score double")

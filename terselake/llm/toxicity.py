@@ -12,6 +12,7 @@ every score is 0.5 (a weightless model), and with one class only that class's pr
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ _SALTS = np.array([0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35], dtype=np.uint64)
 STEM_BYTES = (5, 6, 7)
 #: Words hashed at once; longer texts are hashed piece by piece (pieces overlap by the two words an n-gram reaches back).
 _PIECE = 200_000
-_TABLE_ROWS = 300_000
+_TABLE_ROWS = 200_000
 
 
 class _WordTable(dict):
@@ -50,20 +51,18 @@ class _WordTable(dict):
         return k
 
 
-_words = _WordTable()
-
-
-def features(text: str) -> np.ndarray:
+def features(text: str, table: _WordTable | None = None) -> np.ndarray:
     """The sorted distinct feature indices of a whole text; index 0 is the bias."""
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    known = table if table is not None else common.kept_in_worker("word hashes", _WordTable)
     parts = [np.zeros(1, dtype=np.int64)]
     for start in range(0, len(words), _PIECE):
         piece = words[max(0, start - 2):start + _PIECE]
-        if len(_words) > _TABLE_ROWS:  # a piece adds at most its own length, for which the table has room
-            _words.clear()
-        rows = np.fromiter(map(_words.__getitem__, piece), dtype=np.int64, count=len(piece))
-        h = _words.rows[rows, 0]
-        grams = [_words.rows[np.unique(rows)].ravel()]
+        if len(known) > _TABLE_ROWS:  # a piece adds at most its own length, for which the table has room
+            known.clear()
+        rows = np.fromiter(map(known.__getitem__, piece), dtype=np.int64, count=len(piece))
+        h = known.rows[rows, 0]
+        grams = [known.rows[np.unique(rows)].ravel()]
         for gap, salt in ((1, _SALTS[0]), (2, _SALTS[1])):
             if len(h) > gap:
                 grams.append(((h[:-gap] * _MIX) ^ (h[gap:] + salt)) * _MIX)
@@ -124,30 +123,36 @@ def fit(examples: list[tuple[np.ndarray, int]], params: FtrlParams = FtrlParams(
 
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), target: str = "toxic") -> SparseModel:
     def featurise(batch: pa.RecordBatch):
-        label = batch.column(1).to_pylist()
-        feats = [features(t) for t in common.texts_of(batch, "text")]
-        yield pa.RecordBatch.from_arrays([pa.array([f.astype(np.int32) for f in feats], pa.list_(pa.int32())), pa.array(label, pa.int32())], ["ids", "label"])
+        # sorted indices travel as compressed differences, which takes a third of the room on the driver
+        found = [features(t) for t in common.texts_of(batch, "text")]
+        packed = [zlib.compress(np.diff(f, prepend=0).astype("<u4").tobytes(), 1) for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).cast(pa.int32()), pa.array([len(f) for f in found], pa.int32())], ["ids", "label", "n"])
 
     sample = common.labelled_sample(docs, labels, target, params.sample_rows)
-    rows = common.map_batches(sample, featurise, "ids array<int>, label int").toArrow()
-    ids, label = rows.column(0), rows.column(1).to_pylist()
-    return fit([(ids[k].values.to_numpy().astype(np.int64), y) for k, y in enumerate(label)], params)
+    rows = common.map_batches(sample, featurise, "ids binary, label int, n int").toArrow()
+    stops = np.cumsum(rows.column("n").to_numpy(), dtype=np.int64)
+    flat = np.empty(stops[-1] if len(stops) else 0, np.int32)  # one block, so that its memory goes back whole
+    examples, start = [], 0
+    for x, label, stop in zip(rows.column("ids"), rows.column("label").to_pylist(), stops.tolist(), strict=True):
+        np.cumsum(np.frombuffer(zlib.decompress(x.as_py()), "<u4"), out=flat[start:stop])
+        examples.append((flat[start:stop], label))
+        start = stop
+    del rows
+    return fit(examples, params)
 
 
-def score_text(text: str, dense: np.ndarray) -> float:
-    return float(1.0 / (1.0 + np.exp(-np.clip(dense[features(text)].sum(), -35, 35))))
+class Scorer:
+    """The dense weights and the word table of a worker."""
 
+    def __init__(self, model: SparseModel):
+        self.dense, self.table = model.dense(), _WordTable()
 
-def _dense(model_value: SparseModel) -> np.ndarray:
-    """The dense weights, built once in a worker for each model."""
-    key = (len(model_value.index), float(model_value.weight.sum()), hash(model_value.index.tobytes()))
-    if key not in _dense_of:
-        _dense_of.clear()
-        _dense_of[key] = model_value.dense()
-    return _dense_of[key]
+    def score(self, text: str) -> float:
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.dense[features(text, self.table)].sum(), -35, 35))))
 
 
-_dense_of: dict = {}
+def _scorer(model: SparseModel) -> Scorer:
+    return common.kept_in_worker((len(model.index), model.index.tobytes(), model.weight.tobytes()), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: SparseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +160,8 @@ def score(docs: DataFrame, model: SparseModel, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most a few thousand weights
 
     def run(batch: pa.RecordBatch):
-        dense = _dense(sent.value)
-        s = np.fromiter((score_text(t, dense) for t in common.texts_of(batch, "text")), dtype=float, count=batch.num_rows)
+        scorer = _scorer(sent.value)
+        s = np.fromiter((scorer.score(t) for t in common.texts_of(batch, "text")), dtype=float, count=batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
 
     return common.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
@@ -167,8 +172,8 @@ def drop_toxic(docs: DataFrame, model: SparseModel, threshold: float = 0.5, text
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):
-        dense = _dense(sent.value)
-        keep = pa.array([score_text(t, dense) < threshold for t in common.texts_of(batch, text_col)], pa.bool_())
+        scorer = _scorer(sent.value)
+        keep = pa.array([scorer.score(t) < threshold for t in common.texts_of(batch, text_col)], pa.bool_())
         yield batch.filter(keep)
 
     return common.map_batches(docs, run, docs.schema)

@@ -17,6 +17,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _FIRST = np.uint64(0xA0761D6478BD642F)
 _LONG = 64
+_REFUSED = 0xFFF
 #: Bytes of texts hashed at once; a longer text is a block of its own.
 _BLOCK = 1 << 17
 
@@ -40,16 +41,16 @@ _LETTERS = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64) *
 class WordTable:
     """compute(stretch, first) gives the ids of a stretch as bytes of dtype, or None if its text can't be split there."""
 
-    def __init__(self, compute: Callable[[bytes, bool], bytes | None], dtype: np.dtype, limit: int = 1 << 20):
+    def __init__(self, compute: Callable[[bytes, bool], bytes | None], dtype: np.dtype, limit: int = 1_400_000):
         self.compute, self.dtype, self.limit = compute, np.dtype(dtype), limit
-        self.bits = (2 * limit - 1).bit_length()
+        self.bits = (limit * 4 // 3).bit_length()
         self._clear()
 
     def _clear(self) -> None:
         size = 1 << self.bits
         self.keys = np.zeros(size, np.uint64)
-        self.start = np.zeros(size, np.int64)
-        self.length = np.zeros(size, np.int32)  # -1: not to be split there
+        #: start in the pool << 12 | number of ids; the number _REFUSED: not to be split there.
+        self.place = np.zeros(size, np.int64)
         self.pool = np.zeros(1 << 16, self.dtype)
         self.entries = self.used = 0
 
@@ -83,7 +84,7 @@ class WordTable:
             slot, _ = self._slots(h[left])
             _, first = np.unique(slot, return_index=True)  # of those that want one slot, one gets it
             at, who = slot[first], left[first]
-            self.keys[at], self.start[at], self.length[at] = h[who], starts[who], lengths[who]
+            self.keys[at], self.place[at] = h[who], starts[who] << 12 | np.where(lengths[who] < 0, _REFUSED, lengths[who])
             left = np.delete(left, first)
 
     def _block(self, texts: list[bytes]) -> Iterator[np.ndarray | None]:
@@ -118,10 +119,11 @@ class WordTable:
             is_first = np.isin(words, doc_words[:-1])
             self._insert(distinct, [self.compute(joined[a:e], f) for a, e, f in zip(starts[words].tolist(), ends[words].tolist(), is_first.tolist(), strict=True)])
             slot[missing], _ = self._slots(h[missing])
-        lengths, at = self.length[slot].astype(np.int64), self.start[slot]
+        place = self.place[slot]
+        lengths, at = place & 0xFFF, place >> 12
         if long_ones:
             lengths[list(long_ones)] = 0
-        refused = lengths < 0
+        refused = lengths == _REFUSED
         lengths[refused] = 0
         stops = np.cumsum(lengths)
         ids = self.pool[np.repeat(at - stops + lengths, lengths) + np.arange(stops[-1])]
