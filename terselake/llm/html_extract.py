@@ -41,6 +41,8 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 #: Elements whose content is no text of the page.
 _SKIPPED = frozenset("script style head title noscript template svg math iframe object canvas select button textarea option datalist audio video map".split())
+#: Raw text: no tags inside, the first end tag of the name ends it.
+_RAW_END = {n: re.compile(rf"""</{n}(?=[\s/>])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.I) for n in ("script", "style", "title", "textarea")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Tags with a feature of their own; others share the last one.
@@ -162,18 +164,22 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
                 return
 
     at, skip = 0, ""
-    for m in _TAG.finditer(source):
-        if skip:
-            if m[1] and m[2].lower() == skip:
-                skip, at = "", m.end()
-            continue
+    while m := _TAG.search(source, at):
         start = m.start()
-        if start > at:
+        if start > at and not skip:
             piece(source[at:start])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
+        if name in _RAW_END and not m[1]:
+            end = _RAW_END[name].search(source, at)
+            at = end.end() if end else len(source)
+            continue
+        if skip:
+            if m[1] and name == skip:
+                skip = ""
+            continue
         if name in _INLINE:
             if name == "a":
                 in_link = 0 if m[1] else 1
@@ -188,11 +194,6 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
             in_link = 0
             continue
         if name in _SKIPPED:
-            if name in ("script", "style", "title", "textarea"):  # raw text: tags inside do not count
-                end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
-                if end is None:
-                    at = len(source)
-                    break
             skip = name
             continue
         if name in ("html", "body"):
