@@ -12,11 +12,12 @@ No table marks pages, so the trees are fitted on generated pages whose parts are
 footers, sidebars, notices, adverts, forms, comments.
 
 Text rules: character references are decoded, white space within a block becomes one space, ``br``
-is white space, blocks join by a line feed. Scripts, styles, head, form controls and comments of
-the markup never are text.
+is white space, blocks join by a line feed. Scripts, styles, titles, form controls and comments of
+the markup never are text; what svg and math show is text of the block around them.
 
 Edge cases: null, empty or text-free html gives an empty text; broken markup is closed where a
-browser would close it, or read as text; an unfinished tag at the end is left out; repeated rows get
+browser would close it, or read as text; a skipped element whose end tag is missing ends with
+an element around it or at the next block, whichever comes first; an unfinished tag at the end is left out; repeated rows get
 equal results; an empty table gives no rows.
 """
 
@@ -39,17 +40,26 @@ _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((
 _ATTRIBUTES = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
-#: Elements whose content is no text of the page.
-_SKIPPED = frozenset("script style head title noscript template svg math iframe object canvas select button textarea option datalist audio video map".split())
+#: Elements whose content is no text of the page. Head needs no place here: what may stand in it is void or skipped, and all else ends it.
+_SKIPPED = frozenset("script style title noscript noframes template iframe object canvas select button textarea option datalist audio video map".split())
+#: Elements of svg and math that are not shown; the text of the others belongs to the block around them.
+_UNSEEN = {"svg": frozenset("title desc metadata defs style script".split()), "math": frozenset(("annotation", "annotation-xml"))}
+#: Start tags that end svg and math.
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
+_SPACED = frozenset("text mtr mtd".split())
 #: Raw text: no tags inside, the first end tag of the name ends it.
-_RAW_END = {n: re.compile(rf"""</{n}(?=[\s/>])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.I) for n in ("script", "style", "title", "textarea")}
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_RAW_END = {n: re.compile(rf"""</{n}(?=[\s/>])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.I) for n in ("script", "style", "title", "textarea", "noframes")}
+_VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Tags with a feature of their own; others share the last one.
 TAGS = ("#leaf", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dialog", "#other")
 _TAG_CODE = {t: k for k, t in enumerate(TAGS)} | {"h4": TAGS.index("h3"), "h5": TAGS.index("h3"), "h6": TAGS.index("h3"), "th": TAGS.index("td")}
 #: A start tag on the left ends an open element on the right.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+_CELLS = frozenset("tr td th thead tbody tfoot caption".split())
+_NESTING = frozenset("template object canvas datalist audio video map".split())
+#: Parts of skipped elements that have no end tag to wait for.
+_INSIDE = frozenset("option optgroup".split())
 _BARRIER = frozenset("ul ol dl table div section article aside nav main body form footer header blockquote".split())
 #: Attribute tokens by what they speak for.
 GROUPS = (
@@ -113,6 +123,23 @@ def _attribute_bits(attributes: str) -> tuple[int, int]:
     return _bits_of(attributes) if "class" in lowered or "id" in lowered or "role" in lowered or "data-y" in lowered else (0, -1)
 
 
+_PAIRS = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)(?P<name>{"|".join(sorted(_SKIPPED - _RAW_END.keys()))})(?=[\s/>])""", re.S | re.I)
+
+
+def _paired(source: str) -> set[int]:
+    """Places of the start tags of skipped elements that have an end tag of their own."""
+    out: set[int] = set()
+    waiting: dict[str, list[int]] = {}
+    for m in _PAIRS.finditer(source):
+        if m["name"]:
+            places = waiting.setdefault(m["name"].lower(), [])
+            if not m["end"]:
+                places.append(m.start())
+            elif places:
+                out.add(places.pop())
+    return out
+
+
 def parse(page: int, source: str, nodes: Nodes) -> None:
     """Append the page's nodes."""
     def add(parent: int, tag: int, groups: int, semantic: int, label: int) -> int:
@@ -163,7 +190,38 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
             if barred and stack[k][0] in _BARRIER:
                 return
 
-    at, skip = 0, ""
+    at, skip, own_end = 0, "", False
+    paired: set[int] | None = None
+    inner: list[str] = []  # open elements within the skipped one
+    foreign, level = "", 0  # svg or math, and how many of it are open
+    around: list[int] = []  # levels of svg around html in foreignobject
+
+    def is_open(name: str) -> bool:
+        return any(name == x for x, _ in stack)
+
+    def ends_skipped(name: str, closing: bool) -> bool:
+        """Whether a tag that is not the skipped element's own end tag ends it; else note what it opens or closes inside."""
+        if closing:
+            if name in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(name):]
+                return False
+            return name == foreign or not (own_end and skip in ("template", "object")) and is_open(name)
+        if foreign:
+            if name == foreign:
+                inner.append(name)
+            return name in _BREAKS_OUT and skip not in ("title", "desc", "annotation-xml")  # those may hold html
+        if skip == "select" and name in ("select", "input", "textarea"):
+            return True
+        if name in _CELLS and skip != "template" and "table" not in inner and is_open("table"):
+            return True
+        if name in _VOID or name in _INLINE or name in _INSIDE:
+            return False
+        if not own_end and name in _TAG_CODE:
+            return True
+        if name != skip or name in _NESTING:
+            inner.append(name)
+        return False
+
     while m := _TAG.search(source, at):
         start = m.start()
         if start > at and not skip:
@@ -172,14 +230,52 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if skip:
+            if m[1] and name == skip and name not in inner:
+                skip = ""
+                continue
+            if name in _RAW_END and not m[1] and not foreign and "svg" not in inner and not (skip == "select" and name == "textarea"):
+                end = _RAW_END[name].search(source, at)
+                at = end.end() if end else len(source)
+                continue
+            if not ends_skipped(name, bool(m[1])):
+                continue
+            skip = ""
+        closed = not m[1] and m[3].endswith("/")
+        if foreign:
+            if m[1] and name == foreign:
+                level -= 1
+                foreign = foreign if level else ""
+                continue
+            if is_open(name) if m[1] else name in _BREAKS_OUT:
+                foreign = ""
+            else:
+                if m[1] and name in _SPACED:
+                    run.append(" ")
+                elif not m[1] and not closed:
+                    if name == foreign:
+                        level += 1
+                    elif name in _UNSEEN[foreign]:
+                        skip, own_end = name, False
+                        inner.clear()
+                    elif name == "foreignobject":
+                        foreign = ""
+                        around.append(level)
+                continue
+        if name in ("svg", "math"):
+            if m[1]:
+                around.clear()
+            elif not closed:
+                foreign, level = name, 1
+            continue
+        if name == "foreignobject" and m[1] and around:
+            flush()
+            foreign, level = "svg", around.pop()
+            continue
         if name in _RAW_END and not m[1]:
             end = _RAW_END[name].search(source, at)
             at = end.end() if end else len(source)
             continue
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
-            continue
         if name in _INLINE:
             if name == "a":
                 in_link = 0 if m[1] else 1
@@ -194,9 +290,12 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
             in_link = 0
             continue
         if name in _SKIPPED:
-            skip = name
+            if paired is None:
+                paired = _paired(source)
+            skip, own_end = name, start in paired
+            inner.clear()
             continue
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):
             if name == "body":
                 groups, label = _attribute_bits(m[3])
                 nodes.groups[stack[0][1]] |= groups

@@ -21,3 +21,25 @@ def page(inside, head="<head><title>T</title></head>"):
 def test_no_tags_in_raw_text(raw):
     assert main_text(page(f"<p>{TEXT}</p>{raw}<p>{TEXT} More.</p>")) == f"{TEXT}\n{TEXT} More."
     assert "go(" not in main_text(page(f"<p>{TEXT}</p><script>if(a<b)go()"))
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=utf-8>", "<head>", "<head><style>a{}</style><noscript><img src=x></noscript>\n"])
+def test_head_without_an_end_tag(head):
+    whole = page(f"<p>{TEXT}</p>", head)
+    assert main_text(whole) == TEXT and main_text(whole.replace("<body>", "")) == TEXT
+
+
+@pytest.mark.parametrize("odd", [
+    '<svg width="9"/>', "<math/>", '<svg class="i"><path d="M0"/><title>Icon</title></svg>', "<svg><svg><g/></svg><path/></svg>", "<svg><defs><text>a</text></defs><title/><style/></svg>", "<svg><path d=M0>", "<svg><title>a</svg>",
+    "<div><button>Go</div>", "<div><select><option>a<option>b</div>", "<div><noscript>x</div>", "<div><iframe src=x></div>", "<div><object data=x></div>", "<button>Go", "<select><option>a", "<iframe src=x>", "<video src=x>", "<button><svg><path/>",
+    "<table><tr><td><select><option>a</table>", "<button><div>a</div></button>", "<noscript><div><p>a</noscript>", "<template><div></div></div>a</template>", "<iframe src=x><iframe src=y></iframe>", "<object><object></object>a</object>",
+    "<svg><desc><p>a</p></desc></svg>", "<select><option>a<select><input>",
+])
+def test_skipped_elements_end(odd):
+    assert main_text(page(f"<p>{TEXT}</p>{odd}<p>{TEXT} More.</p>")) == f"{TEXT}\n{TEXT} More."
+
+
+def test_svg_and_math_show_text():
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math>"
+    chart = "<svg><text>North</text><text>South</text><foreignObject><i>East</i></foreignObject><text>West</text></svg>"
+    assert main_text(page(f"<p>{TEXT} {formula} {TEXT}</p><div>{TEXT} {chart} {TEXT}</div>")).split() == f"{TEXT} x=1 {TEXT} {TEXT} North South East West {TEXT}".split()
