@@ -157,6 +157,7 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
         return len(nodes.page) - 1
 
     stack: list[tuple[str, int]] = [("body", add(-1, _TAG_CODE["body"], 0, 0, 0))]
+    open_names: dict[str, int] = {}  # how many elements of a name are on the stack
     run: list[str] = []  # of the leaf that is open
     linked = in_link = 0
 
@@ -182,9 +183,13 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
 
     def pop_to(names: tuple[str, ...], barred: bool) -> None:
         """Close the innermost open element of the names, with what is open in it."""
+        if not any(map(open_names.get, names)):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
                 flush()
+                for name, _ in stack[k:]:
+                    open_names[name] -= 1
                 del stack[k:]
                 return
             if barred and stack[k][0] in _BARRIER:
@@ -197,7 +202,7 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
     around: list[int] = []  # levels of svg around html in foreignobject
 
     def is_open(name: str) -> bool:
-        return any(name == x for x, _ in stack)
+        return name == "body" or open_names.get(name, 0) > 0
 
     def ends_skipped(name: str, closing: bool) -> bool:
         """Whether a tag that is not the skipped element's own end tag ends it; else note what it opens or closes inside."""
@@ -311,8 +316,8 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
         parent = stack[-1][1]
         semantic = 1 << _SEMANTIC.index(name) if name in _SEMANTIC else 0
         k = add(parent, _TAG_CODE.get(name, len(TAGS) - 1), groups, semantic, nodes.label[parent] if label < 0 else label)
-        if len(stack) < 200:  # deeper elements hang on the same parent
-            stack.append((name, k))
+        stack.append((name, k))
+        open_names[name] = open_names.get(name, 0) + 1
     if not skip and at < len(source):
         piece(_UNFINISHED.sub("", source[at:]))
     flush()

@@ -43,3 +43,14 @@ def test_svg_and_math_show_text():
     formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math>"
     chart = "<svg><text>North</text><text>South</text><foreignObject><i>East</i></foreignObject><text>West</text></svg>"
     assert main_text(page(f"<p>{TEXT} {formula} {TEXT}</p><div>{TEXT} {chart} {TEXT}</div>")).split() == f"{TEXT} x=1 {TEXT} {TEXT} North South East West {TEXT}".split()
+
+
+@pytest.mark.parametrize("deep", [199, 1000])
+def test_deep_pages_keep_their_structure(deep):
+    nodes = html_extract._no_nodes()
+    html_extract.parse(0, page("<div>" * deep + "a" + "</div>" * deep + f"<p>{TEXT}</p>"), nodes)
+    article = nodes.tag.index(html_extract.TAGS.index("article"))
+    p = nodes.tag.index(html_extract.TAGS.index("p"))
+    assert nodes.parent[p] == article and nodes.tag.count(html_extract.TAGS.index("div")) == deep
+    x, parent, depth, end = html_extract._features(nodes)
+    assert depth.max() == deep + 2 and nodes.parent[nodes.text.index("a")] == nodes.parent.index(article) + deep - 1
