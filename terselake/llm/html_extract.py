@@ -99,13 +99,14 @@ def _no_nodes() -> Nodes:
 
 
 @cache
-def _bits_of(attributes: str) -> tuple[int, int]:
-    """(bit set of token groups, training label or -1) of a tag's attributes."""
+def _bits_of(attributes: str, marked: bool) -> tuple[int, int]:
+    """(bit set of token groups, training label or -1) of a tag's attributes; only generated pages are marked."""
     bits, label = 0, -1
     for m in _ATTRIBUTES.finditer(attributes):
         value = m[2].strip("\"'")
         if m[1].lower() == "data-y":
-            label = int(value)
+            if marked:
+                label = int(value)
             continue
         tokens = {t.lower() for t in _TOKENS.findall(value)} | set(re.split(r"[^a-z0-9]+", value.lower()))
         for k, group in enumerate(GROUPS):
@@ -114,13 +115,13 @@ def _bits_of(attributes: str) -> tuple[int, int]:
     return bits, label
 
 
-def _attribute_bits(attributes: str) -> tuple[int, int]:
+def _attribute_bits(attributes: str, marked: bool) -> tuple[int, int]:
     if "=" not in attributes:
         return 0, -1
     if _bits_of.cache_info().currsize > 50_000:
         _bits_of.cache_clear()
     lowered = attributes.lower()
-    return _bits_of(attributes) if "class" in lowered or "id" in lowered or "role" in lowered or "data-y" in lowered else (0, -1)
+    return _bits_of(attributes, marked) if "class" in lowered or "id" in lowered or "role" in lowered or "data-y" in lowered else (0, -1)
 
 
 _PAIRS = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)(?P<name>{"|".join(sorted(_SKIPPED - _RAW_END.keys()))})(?=[\s/>])""", re.S | re.I)
@@ -140,8 +141,8 @@ def _paired(source: str) -> set[int]:
     return out
 
 
-def parse(page: int, source: str, nodes: Nodes) -> None:
-    """Append the page's nodes."""
+def parse(page: int, source: str, nodes: Nodes, marked: bool = True) -> None:
+    """Append the page's nodes; marked: data-y attributes are training labels."""
     def add(parent: int, tag: int, groups: int, semantic: int, label: int) -> int:
         nodes.page.append(page)
         nodes.parent.append(parent)
@@ -302,7 +303,7 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
             continue
         if name in ("html", "head", "body"):
             if name == "body":
-                groups, label = _attribute_bits(m[3])
+                groups, label = _attribute_bits(m[3], marked)
                 nodes.groups[stack[0][1]] |= groups
                 nodes.label[stack[0][1]] = max(label, nodes.label[stack[0][1]])
             continue
@@ -312,7 +313,7 @@ def parse(page: int, source: str, nodes: Nodes) -> None:
         pop_to(("p",), True)
         if name in _ENDS:
             pop_to(_ENDS[name], True)
-        groups, label = _attribute_bits(m[3])
+        groups, label = _attribute_bits(m[3], marked)
         parent = stack[-1][1]
         semantic = 1 << _SEMANTIC.index(name) if name in _SEMANTIC else 0
         k = add(parent, _TAG_CODE.get(name, len(TAGS) - 1), groups, semantic, nodes.label[parent] if label < 0 else label)
@@ -592,7 +593,7 @@ def texts(model: Gbt, sources: list[str]) -> list[str]:
     """The main text of each page."""
     nodes = _no_nodes()
     for k, source in enumerate(sources):
-        parse(k, source, nodes)
+        parse(k, source, nodes, marked=False)
     out: list[list[str]] = [[] for _ in sources]
     if nodes.page:
         x, parent, depth, end = _features(nodes)

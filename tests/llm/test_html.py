@@ -54,3 +54,9 @@ def test_deep_pages_keep_their_structure(deep):
     assert nodes.parent[p] == article and nodes.tag.count(html_extract.TAGS.index("div")) == deep
     x, parent, depth, end = html_extract._features(nodes)
     assert depth.max() == deep + 2 and nodes.parent[nodes.text.index("a")] == nodes.parent.index(article) + deep - 1
+
+
+@pytest.mark.parametrize("value", ["12.5", "", "abc", "0", "1"])
+def test_training_marks_are_ignored_on_pages(value):
+    plain = page(f"<div><p>{TEXT}</p></div><div class=ad><p>Buy now.</p></div>")
+    assert main_text(plain.replace("<div", f'<div data-y="{value}"').replace("<body", f'<body data-y="{value}"')) == main_text(plain) == TEXT
