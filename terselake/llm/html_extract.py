@@ -364,11 +364,11 @@ def _features(n: Nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     by_parent = np.bincount(up, weights=chars, minlength=size)
     n_children = np.bincount(parent[parent >= 0], minlength=size)
     index = np.zeros(size)
-    index[children] = np.arange(size) - first[np.maximum(parent[children], 0)] * (parent[children] >= 0)
+    index[children] = np.where(parent[children] < 0, 0, np.arange(size) - first[np.maximum(parent[children], 0)])
     siblings = np.where(parent < 0, 1, n_children[up])
     order = children  # siblings stand together here
     before, after = np.zeros(size), np.zeros(size)
-    same = parent[order[1:]] == parent[order[:-1]]
+    same = (parent[order[1:]] == parent[order[:-1]]) & (parent[order[1:]] >= 0)  # the roots of other pages are no siblings
     before[order[1:]] = np.where(same, chars[order[:-1]], 0)
     after[order[:-1]] = np.where(same, chars[order[1:]], 0)
     columns = [
@@ -464,14 +464,13 @@ def fit(x: np.ndarray, y: np.ndarray, p: GbtParams = GbtParams()) -> Gbt:
 def decode(margin: np.ndarray, parent: np.ndarray, depth: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Kept nodes of the most likely labelling without contradictions; a page's root may also be dropped."""
     log_keep, log_drop = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
-    running = np.concatenate([[0], np.cumsum(log_drop)])
-    drop = running[end] - running[:-1]  # the whole subtree dropped
-    keep = log_keep.copy()
+    keep, drop = log_keep.copy(), log_drop.copy()  # drop: the whole subtree dropped; summed within a page, so that other pages leave its rounding alone
     by_depth = np.argsort(depth, kind="stable")
     bounds = np.searchsorted(depth[by_depth], np.arange(depth.max(initial=0) + 2))
     for d in range(len(bounds) - 2, 0, -1):
         level = by_depth[bounds[d]:bounds[d + 1]]
         np.add.at(keep, parent[level], np.maximum(keep[level], drop[level]))
+        np.add.at(drop, parent[level], drop[level])
     kept = keep > drop
     for d in range(1, len(bounds) - 1):
         level = by_depth[bounds[d]:bounds[d + 1]]

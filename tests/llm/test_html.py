@@ -1,5 +1,8 @@
 """Pages whose markup is rarer than that of the tables."""
 
+import random
+
+import numpy as np
 import pytest
 
 from terselake.llm import html_extract
@@ -60,3 +63,19 @@ def test_deep_pages_keep_their_structure(deep):
 def test_training_marks_are_ignored_on_pages(value):
     plain = page(f"<div><p>{TEXT}</p></div><div class=ad><p>Buy now.</p></div>")
     assert main_text(plain.replace("<div", f'<div data-y="{value}"').replace("<body", f'<body data-y="{value}"')) == main_text(plain) == TEXT
+
+
+def test_a_page_does_not_depend_on_its_batch():
+    r, model = random.Random(5), html_extract.trained()
+    pages = ["", *(html_extract.generated_page(r) for _ in range(30))]
+
+    def numbers(batch):
+        nodes = html_extract._no_nodes()
+        for k, source in enumerate(batch):
+            html_extract.parse(k, source, nodes, marked=False)
+        x = html_extract._features(nodes)[0]
+        return [x[np.array(nodes.page) == k] for k in range(len(batch))]
+
+    together = numbers(pages)
+    assert all((numbers([p])[0] == x).all() for p, x in zip(pages, together, strict=True))
+    assert html_extract.texts(model, pages) == [html_extract.texts(model, [p])[0] for p in pages]
