@@ -2,8 +2,9 @@
 
 Every byte of a text is covered: it is cut into overlapping chunks, learned filters slide over
 the embedded bytes of each chunk and are max-pooled; the chunks' maxima and means feed one
-logistic unit. The network is fitted on the driver over a bounded sample of labelled texts
-(``sample_rows``, ``sample_chunks`` chunks of each, evenly spaced); scoring uses all chunks.
+logistic unit. The network is fitted on the driver over a bounded sample of labelled texts, all
+chunks of each: at most ``sample_rows`` texts, and fewer if their chunks would be more than
+``total_chunks``. Scoring uses all chunks, too.
 
 Edge cases: a null or empty text is one chunk of padding and gets a score like any other text;
 an empty table gives no rows; repeated rows get equal scores; without labelled rows the
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terselake.llm import common
@@ -32,7 +33,7 @@ _AT_ONCE = 512
 @dataclass(frozen=True)
 class ConvParams:
     sample_rows: int = 6000
-    sample_chunks: int = 16
+    total_chunks: int = 96_000
     epochs: int = 10
     batch: int = 64
     rate: float = 4e-3
@@ -136,9 +137,11 @@ def fit(examples: list[tuple[np.ndarray, int]], params: ConvParams = ConvParams(
             rows = np.concatenate([examples[k][0] for k in ids])
             sizes = np.array([len(examples[k][0]) for k in ids])
             starts, doc = np.cumsum(np.append(0, sizes[:-1])), np.repeat(np.arange(len(ids)), sizes)
-            conv = convolve(model, rows)
-            at_most = conv.argmax(axis=1)  # chunks x FILTERS
-            h = np.maximum(np.take_along_axis(conv, at_most[:, None], axis=1)[:, 0] + model.bias, 0)
+            at_most, h = np.empty((len(rows), FILTERS), int), np.empty((len(rows), FILTERS), np.float32)
+            for k in range(0, len(rows), _AT_ONCE):
+                conv = convolve(model, rows[k:k + _AT_ONCE])
+                at_most[k:k + _AT_ONCE] = best = conv.argmax(axis=1)
+                h[k:k + _AT_ONCE] = np.maximum(np.take_along_axis(conv, best[:, None], axis=1)[:, 0] + model.bias, 0)
             top = np.maximum.reduceat(h, starts)
             whole = np.hstack([top, np.add.reduceat(h, starts) / sizes[:, None], np.ones((len(ids), 1), np.float32)])
             p = 1 / (1 + np.exp(-np.clip(whole @ model.out, -35, 35)))
@@ -170,12 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, params: ConvParams = ConvParams(),
     def cut(batch: pa.RecordBatch):
         cells = []
         for text in common.texts_of(batch, "text"):
-            c = chunks(text.encode("utf-8", "surrogatepass"))
-            picked = np.unique(np.linspace(0, len(c) - 1, min(len(c), params.sample_chunks)).astype(int))
-            cells.append(np.ascontiguousarray(c[picked]).tobytes())
+            cells.append(np.ascontiguousarray(chunks(text.encode("utf-8", "surrogatepass"))).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), batch.column(1).cast(pa.int32())], ["chunks", "label"])
 
-    sample = common.labelled_sample(docs, labels, target, params.sample_rows)
+    sample = common.labelled_sample(docs, labels, target, params.sample_rows).withColumn("place", F.monotonically_increasing_id())
+    size = 1 + F.greatest(F.lit(0), F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) - CHUNK) / STEP))
+    sized = sample.withColumn("size", size).where(F.col("size") <= params.total_chunks)
+    sample = sized.withColumn("so_far", F.sum("size").over(Window.orderBy("place"))).where(F.col("so_far") <= params.total_chunks).select("text", "label")
     rows = common.map_batches(sample, cut, "chunks binary, label int").toArrow()
     return fit([(np.frombuffer(c.as_py(), np.uint8).reshape(-1, CHUNK), y.as_py()) for c, y in zip(rows.column(0), rows.column(1), strict=True)], params)
 
