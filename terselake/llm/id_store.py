@@ -15,7 +15,8 @@ Files (Parquet, zstd), in ascending doc_id order by shard and row::
 ``payload`` holds the ids of the chunks kept here, as little-endian unsigned numbers of 2 bytes (4
 for a vocabulary over 65,536), and ``held`` says which they are. A reader decodes rows that hold all
 their chunks by themselves; only chunks that other rows lack are looked up by address. Every
-read recomputes the addresses and the root and fails on a difference.
+read compares the shards with the manifest first, recomputes the addresses and the roots, and fails
+on a difference or a missing chunk.
 
 Edge cases: null or empty text is the end id alone; a null doc_id sorts first; repeated rows are
 documents of their own, in a stable order, whose chunks are stored once; an empty table gives
@@ -334,6 +335,8 @@ def checksums(spark: SparkSession, store: Store) -> DataFrame:
 
 
 def _read(spark: SparkSession, store: Store, result, field: str, kind: pa.DataType) -> DataFrame:
+    if not verify_manifest(spark, store):
+        raise ValueError("the store differs from its manifest")
     rows, width, name = spark.read.schema(_STORED).parquet(store.documents), store.width, field.split()[0]
     schema = f"doc_id long, row long, start long, n_tokens long, {field}"
 
@@ -343,8 +346,8 @@ def _read(spark: SparkSession, store: Store, result, field: str, kind: pa.DataTy
             if held[k]:
                 part = payload[at:at + size * width]
                 at += size * width
-            else:
-                part = fetched[k]
+            elif (part := fetched.get(k)) is None:
+                raise ValueError("a borrowed chunk is missing from the store")
             if address(part) != digest:
                 raise ValueError("a stored chunk differs from its address")
             parts.append(part)
@@ -378,17 +381,20 @@ def _read(spark: SparkSession, store: Store, result, field: str, kind: pa.DataTy
     wanted = rows.where(lacks).select("row", F.posexplode(F.arrays_zip("digests", "held")).alias("pos", "x")).where("not x.held").select("row", "pos", F.col("x.digests").alias("digest"))
     givers = rows.where(F.exists(F.zip_with("held", "shared", lambda h, s: h & s), lambda x: x)).select("digests", "lengths", "held", "shared", "payload")
     parts = wanted.join(common.map_batches(givers, give, "digest binary, part binary"), "digest").groupBy("row").agg(F.collect_list(F.struct("pos", "part")).alias("fetched"))
-    lent = common.map_batches(rows.where(lacks).drop("shared", "shard").join(parts, "row"), decode, schema)
+    lent = common.map_batches(rows.where(lacks).drop("shared", "shard").join(parts, "row", "left"), decode, schema)
     return own.unionByName(lent)
 
 
 def verify_manifest(spark: SparkSession, store: Store) -> bool:
-    """Whether every shard's root follows from its documents' roots."""
-    def root(t: pa.Table) -> pa.Table:
+    """Whether every shard's place, counts and root follow from its documents, and no shard is missing or added."""
+    def found(t: pa.Table) -> pa.Table:
         t = t.sort_by([("start", "ascending"), ("row", "ascending")])
-        return pa.table({"shard": t.column("shard").slice(0, 1).cast(pa.int32()), "found": pa.array([merkle([r.as_py() for r in t.column("root")])], pa.binary())})
+        start, n = t.column("start").to_pylist(), t.column("n_tokens").to_pylist()
+        whole = all(a + b == c for a, b, c in zip(start, n, start[1:]))
+        return pa.table({"shard": t.column("shard").slice(0, 1).cast(pa.int32()), "found": pa.array([[str(start[0]), str(len(n)), str(sum(n)), merkle([r.as_py() for r in t.column("root")]).hex()] if whole else []], pa.list_(pa.string()))})
 
     rows = spark.read.schema(_STORED).parquet(store.documents)
-    found = rows.select("shard", "row", "start", "root").groupBy("shard").applyInArrow(root, "shard int, found binary")
-    sealed = spark.read.parquet(store.manifest)
-    return found.join(sealed, "shard", "full").where(~F.col("found").eqNullSafe(F.col("root"))).limit(1).count() == 0
+    shards = rows.select("shard", "row", "start", "n_tokens", "root").groupBy("shard").applyInArrow(found, "shard int, found array<string>")
+    sealed = spark.read.schema("shard int, first_start long, n_docs long, n_tokens long, root binary").parquet(store.manifest)
+    sealed = sealed.select("shard", F.array(*(F.col(c).cast("string") for c in ("first_start", "n_docs", "n_tokens")), F.lower(F.hex("root"))).alias("sealed"))
+    return shards.join(sealed, "shard", "full").where(~F.col("found").eqNullSafe(F.col("sealed"))).limit(1).count() == 0
