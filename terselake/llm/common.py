@@ -20,12 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is unset (tests on one machine) is a folder chosen here.
+    Only where that setting is unset and the master is local (tests on one machine) is a folder chosen
+    here; on a cluster that raises ValueError, since a folder of one machine would not be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jvm_dir.get() if jvm_dir.isDefined() else "file:///tmp/terselake-checkpoints"
+        if jvm_dir.isDefined():
+            base = jvm_dir.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = "file:///tmp/terselake-checkpoints"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -102,18 +108,52 @@ class BoundedMemo(dict):
         return value
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``limit`` labelled texts outside the held-out fold: columns ``text``, ``label``.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, target: str, limit: int, sample_bytes: int, featurise: Callable[[str], bytes], id_col: str = "doc_id", text_col: str = "text"
+) -> list[tuple[bytes, int]]:
+    """(featurise(text), label) of labelled texts outside the held-out fold, in a fixed order.
 
-    The sample is the ``limit`` smallest ids by a seeded hash, so it is the same on every run.
-    Labels may repeat; a label other than 0 or 1, or null, is left out.
+    The sample: the ``limit`` labelled ids that are the smallest by a seeded hash; one text for each
+    (of texts that share an id, the one of the least hash), passed over where it would bring the sum of
+    the texts' bytes over ``sample_bytes``. Both bounds are parameters of the models. Labels may
+    repeat (the larger counts); a label other than 0 or 1, or null, is left out.
+
+    Texts become features where they lie: keys are aggregated first, and a task passes over copies
+    of a text that it has had, so neither whole texts nor repeated rows meet in one task.
     """
+    spark = docs.sparkSession
     picked = (
-        labels.select(F.col(id_col).alias("sample_id"), F.col(target).cast("int").alias("label"))
+        labels.select(F.col(id_col).cast("long").alias("sample_id"), F.col(target).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("sample_id").isNotNull() & ~held_out(F.col("sample_id")))
         .groupBy("sample_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("sample_id", F.lit(17)), "sample_id").limit(limit)
     )
-    texts = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))
-    # broadcast: the picked rows number at most `limit`
-    return texts.join(F.broadcast(picked), "sample_id").orderBy(F.xxhash64("sample_id", F.lit(17)), "sample_id").select("text", "label").limit(limit)
+    texts = docs.select(F.col(id_col).cast("long").alias("sample_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    digest, size = F.xxhash64("text").alias("digest"), F.octet_length("text").cast("long").alias("size")
+    # broadcast: the picked rows number at most `limit`, and so do the rows that reach the driver
+    keys = texts.join(F.broadcast(picked), "sample_id").select("sample_id", "label", digest, size).groupBy("sample_id", "label").agg(F.min(F.struct("digest", "size")).alias("k"))
+    chosen, held = {}, 0
+    for r in sorted(keys.select(F.xxhash64("sample_id", F.lit(17)).alias("place"), "sample_id", "label", "k.digest", "k.size").collect()):
+        if held + r.size <= sample_bytes:
+            held += r.size
+            chosen[r.sample_id] = (len(chosen), r.label, r.digest)
+    if not chosen:
+        return []
+    wanted = spark.createDataFrame([(i, place, digest) for i, (place, _, digest) in chosen.items()], "sample_id long, place int, digest long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[int] = set()
+        for batch in batches:
+            places, cells = [], []
+            for place, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
+                if place not in had:
+                    had.add(place)
+                    places.append(place)
+                    cells.append(featurise(text))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(cells, pa.binary())], ["place", "cell"])
+
+    found = texts.select("sample_id", "text", digest).join(F.broadcast(wanted), ["sample_id", "digest"]).select("place", "text").mapInArrow(run, "place int, cell binary")
+    cells: list[bytes] = [b""] * len(chosen)
+    for place, cell in found.dropDuplicates(["place"]).toLocalIterator():
+        cells[place] = bytes(cell)
+    return [(cells[place], label) for place, label, _ in chosen.values()]

@@ -3,8 +3,8 @@
 Every byte of a text is covered: it is cut into overlapping chunks, learned filters slide over
 the embedded bytes of each chunk and are max-pooled; the chunks' maxima and means feed one
 logistic unit. The network is fitted on the driver over a bounded sample of labelled texts, all
-chunks of each: at most ``sample_rows`` texts, and fewer if their chunks would be more than
-``total_chunks``. Scoring uses all chunks, too.
+chunks of each: at most ``sample_rows`` texts of at most ``sample_bytes`` in all. Scoring uses all
+chunks, too, and a text's score does not depend on the texts scored beside it.
 
 Edge cases: a null or empty text is one chunk of padding and gets a score like any other text;
 an empty table gives no rows; repeated rows get equal scores; without labelled rows the
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terselake.llm import common
@@ -33,7 +33,7 @@ _AT_ONCE = 512
 @dataclass(frozen=True)
 class ConvParams:
     sample_rows: int = 6000
-    total_chunks: int = 96_000
+    sample_bytes: int = 40 << 20
     epochs: int = 10
     batch: int = 64
     rate: float = 4e-3
@@ -88,7 +88,8 @@ def probabilities(model: ConvModel, maxima: np.ndarray, starts: np.ndarray) -> n
     """One for each text; starts: the first row of each text in maxima."""
     counts = np.diff(np.append(starts, len(maxima)))[:, None]
     whole = np.hstack([np.maximum.reduceat(maxima, starts), np.add.reduceat(maxima, starts) / counts, np.ones_like(counts)])
-    return 1 / (1 + np.exp(-np.clip(whole @ model.out.astype(np.float64), -35, 35)))
+    # a sum for each row: a product with all rows at once rounds by the number of its rows
+    return 1 / (1 + np.exp(-np.clip((whole * model.out.astype(np.float64)).sum(axis=1), -35, 35)))
 
 
 def score_texts(model: ConvModel, texts) -> np.ndarray:
@@ -170,18 +171,8 @@ def fit(examples: list[tuple[np.ndarray, int]], params: ConvParams = ConvParams(
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ConvParams = ConvParams(), target: str = "quality") -> ConvModel:
-    def cut(batch: pa.RecordBatch):
-        cells = []
-        for text in common.texts_of(batch, "text"):
-            cells.append(np.ascontiguousarray(chunks(text.encode("utf-8", "surrogatepass"))).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), batch.column(1).cast(pa.int32())], ["chunks", "label"])
-
-    sample = common.labelled_sample(docs, labels, target, params.sample_rows).withColumn("place", F.monotonically_increasing_id())
-    size = 1 + F.greatest(F.lit(0), F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) - CHUNK) / STEP))
-    sized = sample.withColumn("size", size).where(F.col("size") <= params.total_chunks)
-    sample = sized.withColumn("so_far", F.sum("size").over(Window.orderBy("place"))).where(F.col("so_far") <= params.total_chunks).select("text", "label")
-    rows = common.map_batches(sample, cut, "chunks binary, label int").toArrow()
-    return fit([(np.frombuffer(c.as_py(), np.uint8).reshape(-1, CHUNK), y.as_py()) for c, y in zip(rows.column(0), rows.column(1), strict=True)], params)
+    sample = common.labelled_sample(docs, labels, target, params.sample_rows, params.sample_bytes, lambda text: text.encode("utf-8", "surrogatepass"))
+    return fit([(chunks(data), label) for data, label in sample], params)
 
 
 def score(docs: DataFrame, model: ConvModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

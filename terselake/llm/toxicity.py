@@ -1,9 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text becomes the set of its hashed unigrams (words and their stems), bigrams and
-one-word-gap skip-grams. The fit runs
-on the driver over a bounded sample of labelled texts (``sample_rows``); per-coordinate learning
-rates and L1 sparsity leave a few thousand weights, which are what the executors receive.
+A text becomes the set of its hashed unigrams (words, their stems, and stems that occur twice and
+thrice), bigrams and one-word-gap skip-grams. The fit runs on the driver over a bounded sample of
+labelled texts (``sample_rows``, ``sample_bytes``), whose features are made on the executors;
+per-coordinate learning rates and L1 sparsity leave a few thousand weights, which are what the
+executors receive.
 
 Edge cases: a null or empty text has only the bias feature and gets the score of the bias;
 repeated rows get equal scores; an empty table gives no rows; without any labelled row
@@ -31,6 +32,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35], dtype=np.uint64)
 #: Besides the word itself, its stems of these many bytes are unigrams: compounding and inflecting languages share them.
 STEM_BYTES = (5, 6, 7)
+#: A stem that occurs at least so often is a feature of its own for each of these numbers.
+REPEATS = (2, 3)
+_REPEAT_SALTS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 #: Words hashed at once; longer texts are hashed piece by piece (pieces overlap by the two words an n-gram reaches back).
 _PIECE = 200_000
 _TABLE_ROWS = 200_000
@@ -55,30 +59,37 @@ def features(text: str, table: _WordTable | None = None) -> np.ndarray:
     """The sorted distinct feature indices of a whole text; index 0 is the bias."""
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
     known = table if table is not None else common.kept_in_worker("word hashes", _WordTable)
-    parts = [np.zeros(1, dtype=np.int64)]
+    grams = []
+    stems, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for start in range(0, len(words), _PIECE):
         piece = words[max(0, start - 2):start + _PIECE]
         if len(known) > _TABLE_ROWS:  # a piece adds at most its own length, for which the table has room
             known.clear()
         rows = np.fromiter(map(known.__getitem__, piece), dtype=np.int64, count=len(piece))
         h = known.rows[rows, 0]
-        grams = [known.rows[np.unique(rows)].ravel()]
         for gap, salt in ((1, _SALTS[0]), (2, _SALTS[1])):
             if len(h) > gap:
                 grams.append(((h[:-gap] * _MIX) ^ (h[gap:] + salt)) * _MIX)
-        parts.append((np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.unique(np.concatenate(parts))
+        own, n = np.unique(rows[len(piece) - min(_PIECE, len(words) - start):], return_counts=True)
+        hashes = known.rows[own]
+        grams.append(hashes[:, 0])
+        stems, where = np.unique(np.concatenate([stems, hashes[:, 1:].ravel()]), return_inverse=True)
+        times = np.bincount(where, np.concatenate([times, np.repeat(n, len(STEM_BYTES))]), len(stems)).astype(np.int64)
+    grams.append(stems)
+    grams += [(stems[times >= least] ^ salt) * _MIX for least, salt in zip(REPEATS, _REPEAT_SALTS)]
+    return np.unique(np.concatenate([np.zeros(1, np.int64), (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64)]))
 
 
 @dataclass(frozen=True)
 class FtrlParams:
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 8.0
     l2: float = 1.0
     epochs: int = 4
     positive_weight: float = 2.0
     sample_rows: int = 8000
+    sample_bytes: int = 40 << 20
 
 
 @dataclass(frozen=True)
@@ -122,23 +133,10 @@ def fit(examples: list[tuple[np.ndarray, int]], params: FtrlParams = FtrlParams(
 
 
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), target: str = "toxic") -> SparseModel:
-    def featurise(batch: pa.RecordBatch):
-        # sorted indices travel as compressed differences, which takes a third of the room on the driver
-        found = [features(t) for t in common.texts_of(batch, "text")]
-        packed = [zlib.compress(np.diff(f, prepend=0).astype("<u4").tobytes(), 1) for f in found]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).cast(pa.int32()), pa.array([len(f) for f in found], pa.int32())], ["ids", "label", "n"])
-
-    sample = common.labelled_sample(docs, labels, target, params.sample_rows)
-    rows = common.map_batches(sample, featurise, "ids binary, label int, n int").toArrow()
-    stops = np.cumsum(rows.column("n").to_numpy(), dtype=np.int64)
-    flat = np.empty(stops[-1] if len(stops) else 0, np.int32)  # one block, so that its memory goes back whole
-    examples, start = [], 0
-    for x, label, stop in zip(rows.column("ids"), rows.column("label").to_pylist(), stops.tolist(), strict=True):
-        np.cumsum(np.frombuffer(zlib.decompress(x.as_py()), "<u4"), out=flat[start:stop])
-        examples.append((flat[start:stop], label))
-        start = stop
-    del rows
-    return fit(examples, params)
+    # sorted indices travel as compressed differences, which takes a third of the room on the driver
+    packed = lambda text: zlib.compress(np.diff(features(text), prepend=0).astype("<u4").tobytes(), 1)
+    sample = common.labelled_sample(docs, labels, target, params.sample_rows, params.sample_bytes, packed)
+    return fit([(np.cumsum(np.frombuffer(zlib.decompress(cell), "<u4"), dtype=np.int32), label) for cell, label in sample], params)
 
 
 class Scorer:

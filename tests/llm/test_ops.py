@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terselake.llm import byte_bpe, common, decontaminate, html_extract, id_store, quality, secrets, simhash, token_counts, topk, toxicity
+from terselake.llm import byte_bpe, common, decontaminate, html_extract, id_store, quality, secrets, simhash, token_counts, topk, toxicity, word_table
 
 DOCS = "doc_id long, text string"
 ODD = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (5, "x" * 200_000), (6, "word " * 30_000)]
@@ -147,6 +147,96 @@ def test_quality_gradients():
     assert ((p > 0.5) == np.array([y for _, y in ex])).all()
 
 
+def plain_quality(model, text):
+    """One text's score by loops: every filter at every place of every chunk."""
+    data = text.encode()
+    n = 1 + max(0, -(-(len(data) - quality.CHUNK) // quality.STEP))
+    padded = data + bytes(max(0, (n - 1) * quality.STEP + quality.CHUNK - len(data)))
+    tops = []
+    for c in range(n):
+        chunk = padded[c * quality.STEP:c * quality.STEP + quality.CHUNK]
+        best = [0.0] * quality.FILTERS
+        for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            seen = [float(x) for byte in chunk[at:at + quality.WIDTH] for x in model.embed[byte]]
+            half = len(seen) // 2
+            for f in range(quality.FILTERS):
+                v = sum(a * float(w) for a, w in zip(seen[:half], model.first[:, f])) + sum(a * float(w) for a, w in zip(seen[half:], model.second[:, f])) + float(model.bias[f])
+                best[f] = max(best[f], v)
+        tops.append(best)
+    whole = [max(t[f] for t in tops) for f in range(quality.FILTERS)] + [sum(t[f] for t in tops) / n for f in range(quality.FILTERS)] + [1.0]
+    return 1 / (1 + math.exp(-sum(a * float(b) for a, b in zip(whole, model.out))))
+
+
+def test_quality_scores_equal_a_plain_forward_pass():
+    r = np.random.default_rng(4)
+    ex = [(quality.chunks(bytes(r.integers(33 + 60 * (k % 2), 60 + 60 * (k % 2), 700).astype(np.uint8))), k % 2) for k in range(20)]
+    model = quality.fit(ex, quality.ConvParams(epochs=3, batch=8))
+    for text in ("", "a", "The house %%% is green. " * 30, "é漢😀" * 130):
+        assert abs(quality.score_texts(model, [text])[0] - plain_quality(model, text)) < 1e-5
+
+
+def plain_toxic_features(text):
+    """Words, stems, repeated stems, bigrams and skip-grams by dictionaries."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    mask, mix, out = (1 << 64) - 1, int(toxicity._MIX), {0}
+    put = lambda h: out.add((h & mask) >> (64 - toxicity.BITS))
+    h = [xxhash.xxh64_intdigest(w.encode(), 7) for w in words]
+    stems = Counter(xxhash.xxh64_intdigest(w.encode()[:n], 11) for w in words for n in toxicity.STEM_BYTES)
+    for x in [*h, *stems]:
+        put(x)
+    for gap, salt in ((1, toxicity._SALTS[0]), (2, toxicity._SALTS[1])):
+        for a, b in zip(h, h[gap:]):
+            put(((a * mix & mask) ^ (b + int(salt) & mask)) * mix)
+    for least, salt in zip(toxicity.REPEATS, toxicity._REPEAT_SALTS):
+        for x, n in stems.items():
+            if n >= least:
+                put((x ^ int(salt)) * mix)
+    return sorted(out)
+
+
+def test_toxic_features_and_scores_equal_plain_ones(monkeypatch):
+    r = random.Random(6)
+    texts = ["", "idiot", *(" ".join(r.choice(["réeuxment", "réeuxpa", "the", "The", "a", "x-y", "ß", "idiot!"]) for _ in range(r.randint(1, 60))) for _ in range(40))]
+    for piece in (toxicity._PIECE, 7):
+        monkeypatch.setattr(toxicity, "_PIECE", piece)
+        assert all(toxicity.features(t, toxicity._WordTable()).tolist() == plain_toxic_features(t) for t in texts)
+    model = toxicity.fit([(toxicity.features(t, toxicity._WordTable()), int("idiot" in t)) for t in texts], toxicity.FtrlParams(l1=0.5))
+    weight = dict(zip(model.index.tolist(), model.weight.tolist()))
+    for t in texts:
+        assert abs(toxicity.Scorer(model).score(t) - 1 / (1 + math.exp(-sum(weight.get(k, 0.0) for k in plain_toxic_features(t))))) < 1e-12
+
+
+def plain_ftrl(examples, p):
+    """FTRL-proximal with dictionaries, one coordinate at a time."""
+    z, n = {}, {}
+
+    def w(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if i == 0:
+            return -zi * p.alpha / (p.beta + math.sqrt(ni))
+        return 0.0 if abs(zi) <= p.l1 else -(zi - math.copysign(p.l1, zi)) / ((p.beta + math.sqrt(ni)) / p.alpha + p.l2)
+
+    for epoch in range(p.epochs):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            ids, y = examples[k]
+            g = (1 / (1 + math.exp(-sum(w(i) for i in ids))) - y) * (p.positive_weight if y else 1.0)
+            for i, wi in [(i, w(i)) for i in ids]:
+                ni = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) / p.alpha * wi
+                n[i] = ni + g * g
+    return {i: w(i) for i in n if w(i)}
+
+
+def test_ftrl_equals_a_plain_version():
+    r = np.random.default_rng(8)
+    ex = [(np.unique(np.append(0, r.integers(1, 60, 9))), int(r.random() < 0.4)) for _ in range(150)]
+    p = toxicity.FtrlParams(l1=1.5)
+    got, want = toxicity.fit(ex, p), plain_ftrl([(i.tolist(), y) for i, y in ex], p)
+    assert set(got.index.tolist()) - {0} == set(want) - {0} and 10 < len(want) < 60
+    assert all(abs(w - want[i]) < 1e-9 for i, w in zip(got.index.tolist(), got.weight.tolist()) if i)
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, quality.CHUNK, quality.CHUNK + 1, 5000):
         c = quality.chunks(bytes(range(1, 251)) * 20)[:0] if n == 0 else quality.chunks((bytes(range(1, 251)) * 21)[:n])
@@ -170,9 +260,22 @@ def test_toxicity(labelled, odd, empty):
 
 def test_samples_leave_the_held_out_fold_alone(labelled):
     docs, labels = labelled
-    n = common.labelled_sample(docs, labels, "toxic", 10_000).count()
-    assert n == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(600))
-    assert common.labelled_sample(docs, labels, "toxic", 50).count() == 50
+    sample = lambda df, limit=10_000, size=1 << 30: common.labelled_sample(df, labels, "toxic", limit, size, str.encode)
+    every = sample(docs)
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(600))
+    assert sample(docs, 50) == every[:50] == sample(docs.repartition(9), 50)
+    few = sample(docs, size=2000)
+    assert few[0] == every[0] and sum(len(x) for x, _ in few) <= 2000 < sum(len(x) for x, _ in few) + 1000
+
+
+def test_samples_hold_an_id_once(spark, labelled):
+    docs, labels = labelled
+    hot = docs.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text", "score")
+    other = hot.limit(3).withColumn("text", F.lit("another text of that id"))
+    sample = lambda df: common.labelled_sample(df, labels, "toxic", 10_000, 1 << 30, str.encode)
+    once, again = sample(docs), sample(docs.union(hot).repartition(6))
+    assert once == again and sample(docs.union(hot).union(other)) == sample(other.union(hot).union(docs).repartition(3)) and len(once) == len(sample(docs.union(other)))
+    assert common.labelled_sample(spark.createDataFrame([(1, None)], "doc_id long, text string"), labels, "toxic", 10_000, 5, str.encode) == [(b"", 0)]
 
 
 # ------------------------------------------------------------------ 4
@@ -404,7 +507,6 @@ def plain_store(docs):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(WORD_FILE)
-    tk.encode_special_tokens = True
     out, at = [], 0
     for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         ids = [*tk.encode(t or "", add_special_tokens=False).ids, 1]
@@ -415,7 +517,7 @@ def plain_store(docs):
 
 def test_store(spark):
     r = random.Random(4)
-    text = lambda n: " ".join(r.choice(["Thor,", "house", "É'tè", "it's", "12a", "漢字", "x_y!", "ab\n", "<|endoftext|>"]) for _ in range(n))
+    text = lambda n: " ".join(r.choice(["Thor,", "house", "É'tè", "it's", "12a", "漢字", "x_y!", "ab\n", "<|endoftext|>", "x<|startoftext|>,y", "<|"]) for _ in range(n))
     long = text(3000)
     docs = [(k * 3 % 101, text(r.randint(0, 400))) for k in range(60)] + [(200, long), (201, long), (202, long + " tail"), (203, "head " + long), (204, None), (205, ""), (None, "nobody")]
     df = spark.createDataFrame(docs, DOCS).repartition(5)
@@ -431,6 +533,28 @@ def test_store(spark):
     assert stored.where("shard > 0").count() > 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    plain, own, r = Tokenizer.from_file(path), id_store.Encoder(open(path, "rb").read()), random.Random(3)
+    assert own.direct == (name == "word_bpe_49k.json")
+    parts = ["Thor", ",", " ", "  ", "\n", "É", "'s", "12", "漢", "<|endoftext|>", "<|startoftext|>", "<|", "e\u0301", "\u00a0", "_x", "İ"]
+    texts = ["x <|endoftext|> y", "", *("".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(800))]
+    for text, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, id_store.END_ID], text
+
+
+def test_word_table_compares_its_keys(monkeypatch):
+    """Stretches of one first hash keep ids of their own: the second hash tells them apart."""
+    whole = word_table._hashes
+    monkeypatch.setattr(word_table, "_hashes", lambda b, starts, ends: [whole(b, starts, ends)[0] % np.uint64(5), whole(b, starts, ends)[1]])
+    table, r = word_table.WordTable(lambda data, first: (b"^" if first else b"") + data, np.dtype("u1")), random.Random(2)
+    texts = [" ".join(r.choice(["a", "bc", "def", "g", "hi", "x" * 80]) for _ in range(r.randint(1, 9))) for _ in range(300)]
+    assert [x.tobytes().decode() for x in table.ids(texts)] == ["^" + t.replace(" ", "") for t in texts]
+
+
 def test_store_empty(spark, empty):
     store = id_store.write(empty, WORD_FILE)
     assert id_store.checksums(spark, store).count() == 0

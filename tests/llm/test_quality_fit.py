@@ -10,7 +10,7 @@ def test_all_chunks_of_a_text_are_fitted(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit", lambda examples, params: examples)
     whole = quality.train(docs, labels)
     assert {len(c) for c, _ in whole} == {1, quality.chunk_count(40_300)} and len(whole) > 20
-    few = quality.train(docs, labels, quality.ConvParams(total_chunks=100))
-    assert 0 < len(few) < len(whole) and sum(len(c) for c, _ in few) <= 100 and all((a[0] == b[0]).all() for a, b in zip(few, whole))
-    short = quality.train(docs, labels, quality.ConvParams(total_chunks=60))  # no room for any long text
-    assert {len(c) for c, _ in short} == {1}
+    few = quality.train(docs, labels, quality.ConvParams(sample_bytes=45_000))
+    assert 0 < len(few) < len(whole) and {len(c) for c, _ in few} == {1, quality.chunk_count(40_300)}  # a text that has no room is passed over
+    short = quality.train(docs, labels, quality.ConvParams(sample_bytes=30_000))  # no room for any long text
+    assert {len(c) for c, _ in short} == {1} and len(short) == sum(len(c) == 1 for c, _ in whole)
