@@ -72,11 +72,18 @@ def id_width(raw: bytes) -> int:
     return 2 if top < 1 << 16 else 4
 
 
+# The parts of a tokenizer file for which stretches between white space are independent and case is dropped.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class Encoder:
-    """ids of whole texts; stretches between plain spaces are independent for this kind of tokenizer.
+    """ids of whole texts, as the tokenizers library gives them with add_special_tokens=False.
 
-    Its splitting pattern removes white space and no match crosses it, so the ids of a text are those
-    of its space-separated stretches in a row, which a bounded table keeps.
+    The strings of added tokens in a text become those tokens, as in the library. Where the file's
+    splitting pattern removes white space and no match crosses it, the ids of a text are those of its
+    space-separated stretches in a row, which a bounded table keeps; texts of any other tokenizer
+    file are encoded as a whole.
     """
 
     def __init__(self, raw: bytes):
@@ -84,14 +91,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(raw)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = id_width(raw)
         self.dtype, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
-        # one pre-token of a byte-level model; only files of this make take the direct way
         made = json.loads(raw)
-        kinds = [x["type"] for x in made["pre_tokenizer"].get("pretokenizers", [])] if made.get("pre_tokenizer") else []
-        lowers = any(x["type"] == "Lowercase" for x in (made.get("normalizer") or {}).get("normalizers", []))
-        self.direct = kinds == ["Split", "ByteLevel"] and lowers
+        pre = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        byte_level = len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+        # an added token has to lie within a stretch, and outside what the direct way takes for letters and marks
+        added = all(re.search(r"[!-/:-@\[-`{-~][A-Za-z]", t["content"]) and not any(c.isspace() for c in t["content"]) and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in made.get("added_tokens", []))
+        self.direct = made.get("normalizer") == _NORMALIZER and byte_level and pre[0] == _SPLIT and added
         self.model = self.tokenizer.model
         self.word = common.BoundedMemo(self._piece, _WORDS)
         self.table = WordTable(self._stretch, self.dtype)
@@ -106,16 +113,19 @@ class Encoder:
 
     def _stretch(self, data: bytes, first: bool) -> bytes:
         stretch = data.decode("utf-8", "surrogatepass")
-        if self.direct and (m := _PLAIN.fullmatch(stretch)):  # letters and marks are pieces of their own, and case is dropped
+        if m := _PLAIN.fullmatch(stretch):  # letters and marks are pieces of their own, and case is dropped
             return self.word[m[1].lower()] + (self.word[m[2]] if m[2] else b"")
         return self._ids(stretch)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, the end id last."""
         end = np.array([END_ID], self.dtype)
-        # a line feed is white space like a space to these tokenizers, so lines split as well
-        spaced = (t.replace("\n", " ") for t in texts) if self.direct else texts
-        for ids in self.table.ids(spaced):
+        if not self.direct:
+            for text in texts:
+                yield np.concatenate([np.frombuffer(self._ids(text), self.dtype), end])
+            return
+        # a line feed is white space like a space to such a tokenizer, so lines split as well
+        for ids in self.table.ids(t.replace("\n", " ") for t in texts):
             yield np.concatenate([ids, end])
 
 

@@ -2,9 +2,10 @@
 
 Texts are joined and hashed in numpy: a polynomial hash of every stretch comes from differences of
 one running sum, and an open-addressing table of 64-bit hashes leads to the ids, which lie in one
-pool. Only stretches that the table lacks go to the Python function behind it. Two stretches of
-equal hash and length would share ids; at 64 mixed bits that is expected once in some 10**12
-distinct pairs of a full table. Stretches of over 64 bytes are never kept, they are computed.
+pool. Only stretches that the table lacks go to the Python function behind it. Each entry keeps a
+second 64-bit hash, over other bases; a stretch whose first hash is in the table but whose second
+differs is computed, so only an equality of all 128 bits could give a stretch the ids of another.
+Stretches of over 64 bytes are never kept, they are computed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _FIRST = np.uint64(0xA0761D6478BD642F)
 _LONG = 64
@@ -23,19 +24,28 @@ _BLOCK = 1 << 17
 
 
 class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    rows: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * len(_BASES)
 
     @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def of(cls, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each base its powers and those of its inverse, modulo 2**64."""
+        if len(cls.rows[0][0]) < n:
             size = max(n, 2 * _BLOCK)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                setattr(cls, name, np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)])))
-        return cls.up, cls.down
+            power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+            cls.rows = [(power(base), power(pow(base, -1, 1 << 64))) for base in _BASES]
+        return cls.rows
 
 
-_LETTERS = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS = [np.random.default_rng(seed).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
+
+
+def _hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The polynomial hashes of the bytes from each start to its end, one array for each base."""
+    out = []
+    for letters, (up, down) in zip(_LETTERS, _Powers.of(len(b) + 1), strict=True):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[b] * down[:len(b)])])
+        out.append((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    return out
 
 
 class WordTable:
@@ -49,6 +59,7 @@ class WordTable:
     def _clear(self) -> None:
         size = 1 << self.bits
         self.keys = np.zeros(size, np.uint64)
+        self.checks = np.zeros(size, np.uint64)
         #: start in the pool << 12 | number of ids; the number _REFUSED: not to be split there.
         self.place = np.zeros(size, np.int64)
         self.pool = np.zeros(1 << 16, self.dtype)
@@ -69,8 +80,8 @@ class WordTable:
             open_ = open_[~hit & (key != 0)]
         return slot, found
 
-    def _insert(self, h: np.ndarray, values: list[bytes | None]) -> None:
-        """h: distinct hashes that the table lacks."""
+    def _insert(self, h: np.ndarray, check: np.ndarray, values: list[bytes | None]) -> None:
+        """h: distinct hashes that the table lacks, check: their second hashes."""
         data = np.frombuffer(b"".join([v or b"" for v in values]), self.dtype)
         while self.used + len(data) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
@@ -84,7 +95,8 @@ class WordTable:
             slot, _ = self._slots(h[left])
             _, first = np.unique(slot, return_index=True)  # of those that want one slot, one gets it
             at, who = slot[first], left[first]
-            self.keys[at], self.place[at] = h[who], starts[who] << 12 | np.where(lengths[who] < 0, _REFUSED, lengths[who])
+            self.keys[at], self.checks[at] = h[who], check[who]
+            self.place[at] = starts[who] << 12 | np.where(lengths[who] < 0, _REFUSED, lengths[who])
             left = np.delete(left, first)
 
     def _block(self, texts: list[bytes]) -> Iterator[np.ndarray | None]:
@@ -92,33 +104,33 @@ class WordTable:
         b = np.frombuffer(joined, np.uint8)
         gaps = np.flatnonzero(b == 32)
         starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(b)]])
-        up, down = _Powers.of(len(b) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[b] * down[:len(b)])])
         sizes = ends - starts
-        h = (total[ends] - total[starts]) * up[starts] + sizes.astype(np.uint64)
+        h, check = _hashes(b, starts, ends)
         doc_words = np.cumsum([0, *(t.count(b" ") + 1 for t in texts)])
         h[doc_words[:-1]] ^= _FIRST
         h = (h ^ (h >> np.uint64(32))) * _MIX
         h = (h ^ (h >> np.uint64(29))) * _MIX | np.uint64(1)
         slot, found = self._slots(h)
-        missing = np.flatnonzero(~found)
-        long_ones: dict[int, bytes | None] = {}
+        #: Stretches that the table can't hold: over-long ones, and those whose first hash is that of another.
+        apart = (sizes > _LONG) | (found & (self.checks[slot] != check))
+        missing = np.flatnonzero(~found & ~apart)
         if len(missing):
-            is_long = sizes[missing] > _LONG
-            firsts = set(doc_words[:-1].tolist()) if is_long.any() else set()
-            for k in missing[is_long].tolist():
-                long_ones[k] = self.compute(joined[starts[k]:ends[k]], k in firsts)
-            missing = missing[~is_long]
             distinct, which = np.unique(h[missing], return_index=True)
             if self.entries + len(distinct) > self.limit:
                 self._clear()
                 slot, found = self._slots(h)
-                missing = np.flatnonzero(~found & (sizes <= _LONG))
+                apart = sizes > _LONG
+                missing = np.flatnonzero(~apart)
                 distinct, which = np.unique(h[missing], return_index=True)
             words = missing[which]
             is_first = np.isin(words, doc_words[:-1])
-            self._insert(distinct, [self.compute(joined[a:e], f) for a, e, f in zip(starts[words].tolist(), ends[words].tolist(), is_first.tolist(), strict=True)])
+            self._insert(distinct, check[words], [self.compute(joined[a:e], f) for a, e, f in zip(starts[words].tolist(), ends[words].tolist(), is_first.tolist(), strict=True)])
             slot[missing], _ = self._slots(h[missing])
+            apart[missing] = self.checks[slot[missing]] != check[missing]
+        long_ones: dict[int, bytes | None] = {}
+        if apart.any():
+            firsts = set(doc_words[:-1].tolist())
+            long_ones = {k: self.compute(joined[starts[k]:ends[k]], k in firsts) for k in np.flatnonzero(apart).tolist()}
         place = self.place[slot]
         lengths, at = place & 0xFFF, place >> 12
         if long_ones:
