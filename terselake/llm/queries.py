@@ -90,7 +90,7 @@ def _located_sql(pattern: str, rank: int, keep: str) -> str:
 
 _WINDOW_CLOG = f"list_sum(list_transform(string_split(w, ''), lambda ch: log2({secrets.WINDOW} - length(replace(w, ch, '')))))"
 _RANDOM_SQL = (
-    "regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Za-z]') AND NOT (" + " OR ".join(f"regexp_matches(c, '{p}')" for p in secrets.ALLOWED) + ") AND "
+    "regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Za-z]') AND NOT (" + " OR ".join(f"regexp_matches(c, '{p.replace(')*+', ')*')}')" for p in secrets.ALLOWED) + ") AND "
     f"list_min(list_transform(list_transform(range(1, length(c) - {secrets.WINDOW - 2}), lambda k: substr(c, k, {secrets.WINDOW})), lambda w: {_WINDOW_CLOG})) "
     f"<= (log2({secrets.WINDOW}) - CASE WHEN regexp_full_match(c, '[0-9A-Fa-f]+') THEN {secrets.HEX_BITS}::DOUBLE ELSE {secrets.MIXED_BITS}::DOUBLE END) * {secrets.WINDOW} + 1e-9"
 )

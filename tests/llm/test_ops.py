@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -324,6 +325,20 @@ def test_secrets(spark):
     assert "entropy" in got[7].spans and got[8].spans == "" and got[9].spans == "entropy:0:32"
 
 
+def test_secrets_in_very_long_candidates_and_many_spans(spark):
+    r = random.Random(12)
+    alphabet = "".join(sorted({chr(c) for c in range(43, 123) if re.match(secrets.CANDIDATE, chr(c) * 20)}))
+    texts = ["".join(r.choice(alphabet) for _ in range(200_000)), "xy1" * 30_000 + "Zx9Qw3Er7Ty1Ui5Op0As2", "a/b1/" * 100_000, " ".join(f"password=hunter{k:05d} é {'Zx9Qw3Er7Ty1Ui5Op0As2' * (k % 3 == 0)}" for k in range(8000))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], DOCS)
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.scan(df).collect()}
+    clean = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert time.time() - began < 120
+    assert got[0].spans == "entropy:0:200000" and clean[0] == "<entropy>" and got[1].spans == f"entropy:0:{len(texts[1])}" and got[2].spans == "" and clean[2] == texts[2]
+    assert got[3].spans == plain_spans(texts[3])[2] and got[3].n_assign == 8000 and got[3].n_entropy == 2667
+    assert clean[3] == re.sub("Zx9Qw3Er7Ty1Ui5Op0As2", "<entropy>", re.sub("password=hunter[0-9]{5}", "<assign>", texts[3]))
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, 'x password = "hunter2222" y', 27, 9, "e"), (2, None, None, 9, "e"), (3, "clean", 5, 9, "e")], "doc_id long, text string, n_chars long, base int, every string")
     assert rows(secrets.redact(df)) == [(1, "x <assign>\" y", 13, 9, "e"), (2, None, None, 9, "e"), (3, "clean", 5, 9, "e")]
