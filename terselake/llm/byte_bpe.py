@@ -37,9 +37,8 @@ from terselake.llm.word_table import WordTable
 
 #: Bounds of a worker's stores.
 _STATES, _PAIRS, _PIECES = 200_000, 200_000, 150_000
-
-#: A piece of at most so many bytes is within the lookahead as a whole.
-_LOOKAHEAD = 64
+#: Bytes read between two looks at the size of the state store, and the longest piece that is remembered.
+_BETWEEN, _LONGEST = 4096, 256
 _NEVER = 1 << 60
 _BYTE = [bytes((k,)) for k in range(256)]
 _IDS = struct.Struct("<I")
@@ -63,10 +62,8 @@ class Transducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.node = dict.fromkeys(self.prefixes, -1) | ranks  # the token at each node of the tokens' trie, or -1
         self.halves = common.BoundedMemo(self._halves_of, len(ranks))
         self.compatible = common.BoundedMemo(self._compatible, _PAIRS)
-        self.arcs: dict[tuple[int, bytes], int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -174,70 +171,19 @@ class Transducer:
         last = self.states[state][2]
         return b"".join(map(_IDS.pack, self._history(last, len(last))))
 
-    def _candidates(self, data: bytes, at: int) -> list[int]:
-        """The tokens that start here, the longest last."""
-        get, out = self.node.get, []
-        for end in range(at + 1, len(data) + 1):
-            t = get(data[at:end])
-            if t is None:
-                break
-            if t >= 0:
-                out.append(t)
-        return out
-
-    def _search(self, settled: int, data: bytes) -> list[int]:
-        """The one sequence of compatible tokens from a settled token to the end: depth first, longest first."""
-        compatible, length, arcs, n = self.compatible, self.length, self.arcs, len(data)
-        path, places, options, dead = [settled], [0], [self._candidates(data, 0)], set()
-        while places[-1] < n:
-            if not options[-1]:  # no way on: the token before is not the one
-                options.pop()
-                dead.add((places.pop(), path.pop()))
-                continue
-            t = options[-1].pop()
-            after = places[-1] + length[t]
-            if (after, t) not in dead and compatible[path[-1], t]:
-                path.append(t)
-                places.append(after)
-                while (u := arcs.get((t, data[after:]))) is not None:  # from here on the arcs are known
-                    path.append(u)
-                    after, t = after + length[u], u
-                if after == n:
-                    break
-                del path[len(places):]
-                after = places[-1]
-                options.append(self._candidates(data, after) if after < n else [])
-        return path[1:]
-
-    def _ahead(self, data: bytes) -> bytes:
-        """A piece within the lookahead: arcs lead from (settled token, bytes ahead) to the next token."""
-        arcs, length, settled, out = self.arcs, self.length, -1, []
-        while data:
-            token = arcs.get((settled, data))
-            if token is None:
-                found = self._search(settled, data)
-                if len(arcs) > _STATES:
-                    arcs.clear()
-                for token in found:
-                    arcs[settled, data] = token
-                    data, settled = data[length[token]:], token
-                out += found
-                break
-            out.append(token)
-            data, settled = data[length[token]:], token
-        return struct.pack(f"<{len(out)}I", *out)
-
     def encode(self, data: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if len(data) <= _LOOKAHEAD:
-            return self._ahead(data)
-        if len(self.states) > _STATES:
-            self._reset()
-        state, out, step = 0, [], self.step
-        for byte in data:
-            state, emitted = step[state << 8 | byte]
-            if emitted:
-                out.append(emitted)
+        state, out = 0, []
+        for at in range(0, len(data), _BETWEEN):
+            if len(self.states) > _STATES or len(self.step) > 2 * _STATES:  # start again, from the state that has been reached
+                reached = self.states[state]
+                self._reset()
+                state = self._state(*reached)
+            step = self.step
+            for byte in data[at:at + _BETWEEN]:
+                state, emitted = step[state << 8 | byte]
+                if emitted:
+                    out.append(emitted)
         out.append(self.rest(state))
         return b"".join(out)
 
@@ -285,7 +231,7 @@ class ByteBpe:
         self.table = WordTable(self._stretch, np.dtype("<u4"))
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
+        return b"".join([self.piece[p] if len(p) <= _LONGEST else self.transducer.encode(p.encode("utf-8")) for p in self.pieces(text)])
 
     def _stretch(self, data: bytes, first: bool) -> bytes | None:
         """The ids of a stretch with the space before it; None if white space stands at either end."""

@@ -618,9 +618,8 @@ def test_bpe_matches_the_library(bpe):
         assert "".join(t for _, t in c.decode(ids.tolist())) == text
 
 
-def test_byte_machine_matches_the_library(bpe, monkeypatch):
+def test_byte_machine_matches_the_library(bpe):
     c, library = bpe
-    monkeypatch.setattr(byte_bpe, "_LOOKAHEAD", -1)
     fresh = byte_bpe.ByteBpe(c.transducer.ranks, public_tokenizers.PATTERN)
     r = random.Random(7)
     for _ in range(600):
@@ -630,7 +629,7 @@ def test_byte_machine_matches_the_library(bpe, monkeypatch):
 
 def test_small_memos_change_nothing(bpe, monkeypatch):
     c, library = bpe
-    for name in ("_STATES", "_PAIRS", "_PIECES"):
+    for name in ("_STATES", "_PAIRS", "_PIECES", "_BETWEEN", "_LONGEST"):
         monkeypatch.setattr(byte_bpe, name, 5)
     small = byte_bpe.ByteBpe(c.transducer.ranks, public_tokenizers.PATTERN)
     small.table.limit = 20
@@ -639,6 +638,15 @@ def test_small_memos_change_nothing(bpe, monkeypatch):
     assert [x.tolist() for x in small.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_lookahead_is_bounded(bpe):
+    """What waits in a state is no longer than a few tokens, however long a piece is; long pieces leave no states behind."""
+    c, library = bpe
+    fresh, r = byte_bpe.Transducer(c.transducer.ranks), random.Random(3)
+    for piece in ("a" * 30_000, "ab" * 15_000, "".join(r.choice("etaoinshr") for _ in range(30_000))):
+        assert fresh.encode(piece.encode()) == np.array(library.encode_ordinary(piece), "<u4").tobytes()
+    assert max(len(pending) for _, pending, _, _ in fresh.states) <= 2 * max(map(len, fresh.ranks))
+
+
 def test_utf8_stream():
     text = "aé漢😀z" * 3
     data = text.encode()
