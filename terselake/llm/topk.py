@@ -1,15 +1,18 @@
 """Exact top-k search by inner product: a three-phase uniform threshold.
 
-The components of a vector fall into ``SLABS`` slabs; a slab's partial product is one score list
+The components of a vector fall into ``SLABS`` slabs; a slab's partial products are one score list
 of each query, and a score is the sum of its partials. Phase 1: every task gathers, per query, the
-best entries of each local list and their whole scores; the k-th best (score, id) over all tasks
-is a safe cutoff. Phase 2: with the cutoffs broadcast, every task collects the entries that have
-a partial of at least cutoff / SLABS in some list; a score that reaches the cutoff must. Phase 3
-resolves the whole scores of the collected entries, keeps those at or above the cutoff, and
-merges the tasks' best.
+best entries of one local list, that of the slab in which the queries are largest, and resolves
+those alone; the k-th best (score, id) over all tasks is a safe cutoff. Phase 2: with the cutoffs
+broadcast, every task goes through the lists and collects sufficient entries: an entry stays open
+while its partials so far and the norms of the slabs to come can reach the cutoff together, and
+one that is open to the end must have a partial of at least cutoff / SLABS in some list. As soon
+as few are open, no further list is made. Phase 3 resolves what the collected entries lack, keeps
+those at or above the cutoff, and merges the tasks' best.
 
 Queries are taken in blocks of a checked size (``block_bytes``); each block is broadcast and passes
-over all vectors, so memory is bounded whatever their number.
+twice over all vectors, and its answers are written before the next one starts, so memory, broadcasts
+and the plan are bounded whatever the number of queries.
 
 Arithmetic: a component is floor(1024 * x) with x as double. Sums that fit 53 bits are computed in
 doubles exactly, larger ones in Python integers, held within the range of long.
@@ -27,15 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terselake.llm import common
 
-SLABS = 4
+SLABS = 8
 SCALE = 1024
 #: Queries and vectors multiplied at once.
 _QUERIES, _VECTORS = 512, 2048
+#: Entries of a local list resolved in phase 1, as a multiple of k + 1: the more, the closer the cutoff.
+_GATHERED = 6
+#: Open entries are resolved one by one once they are at most this share of all.
+_FEW = 0.15
 _LONG = (1 << 63) - 1
 
 
@@ -83,11 +91,18 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
 
 
-def _partials(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Each slab's products, queries x vectors; exact."""
-    if not _fits(q, c):
-        q, c = _whole(q), _whole(c)
-    return [q[:, s] @ c[:, s].T if s.stop > s.start else np.zeros((len(q), len(c))) for s in _slabs(q.shape[1])]
+def _order(grid: np.ndarray) -> list[slice]:
+    """The slabs, those in which the queries are largest first."""
+    return sorted(_slabs(grid.shape[1]), key=lambda s: -float((grid[:, s] ** 2).sum()))
+
+
+def _pairs(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray, slabs: list[slice]) -> np.ndarray:
+    """The products of some pairs over some slabs."""
+    out = np.zeros(len(qi))
+    for s in slabs:
+        for k in range(0, len(qi), 50_000):
+            out[k:k + 50_000] += np.einsum("ij,ij->i", q[qi[k:k + 50_000], s], c[ci[k:k + 50_000], s])
+    return out
 
 
 class _Best:
@@ -115,46 +130,79 @@ class _Best:
                 yield q, max(-_LONG - 1, min(_LONG, -s)), i
 
 
-def _gather(block: Block, best: _Best, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-    """Phase 1: the best of every local list, with their whole scores."""
+def _every(block: Block, best: _Best, ids: np.ndarray, vectors: np.ndarray) -> int:
+    """All scores, for numbers that a double can't hold: Python integers."""
+    q, c = _whole(block.grid), _whole(vectors)
+    for k in range(len(q)):
+        v = np.flatnonzero(block.ids[k] != ids)
+        score = [int(x) for x in (c[v] @ q[k])] if len(v) else []
+        best.add(np.full(len(v), k), score, ids[v])
+    return q.shape[0] * c.shape[0] * q.shape[1]
+
+
+def _gather(block: Block, best: _Best, ids: np.ndarray, vectors: np.ndarray, k: int) -> int:
+    """Phase 1: the best of one local list, with their whole scores. Returns the number of products."""
+    if not _fits(block.grid, vectors):
+        return _every(block, best, ids, vectors)
+    order, done, n = _order(block.grid), 0, min(_GATHERED * (k + 1), len(ids))
     for a in range(0, len(block.ids), _QUERIES):
-        parts = _partials(block.grid[a:a + _QUERIES], vectors)
-        whole = sum(parts[1:], parts[0])
-        own = block.ids[a:a + _QUERIES, None] == ids[None]
-        n = min(k + 1, len(ids))
-        tops = [np.argpartition(-p.astype(np.float64), n - 1, axis=1)[:, :n] for p in parts]
-        picked = np.zeros(whole.shape, bool)
-        for t in tops:
-            np.put_along_axis(picked, t, True, axis=1)
-        q, v = np.nonzero(picked & ~own)
-        best.add(q + a, whole[q, v], ids[v])
-
-
-def _collect(block: Block, best: _Best, ids: np.ndarray, vectors: np.ndarray) -> None:
-    """Phases 2 and 3: entries that pass the uniform threshold in some list, then their whole scores."""
+        grid = block.grid[a:a + _QUERIES]
+        listed = grid[:, order[0]] @ vectors[:, order[0]].T
+        top = np.argpartition(-listed, n - 1, axis=1)[:, :n]
+        q, v = np.repeat(np.arange(len(grid)), n), top.ravel()
+        other = block.ids[a + q] != ids[v]
+        q, v = q[other], v[other]
+        best.add(q + a, listed[q, v] + _pairs(grid, vectors, q, v, order[1:]), ids[v])
+        done += listed.size * (order[0].stop - order[0].start) + len(q) * sum(s.stop - s.start for s in order[1:])
+    return done
+
+
+def _norms(x: np.ndarray, order: list[slice]) -> np.ndarray:
+    """rows x slabs: the norm of all slabs after each one."""
+    squares = np.column_stack([(x[:, s] ** 2).sum(axis=1) for s in order])
+    return np.sqrt(np.maximum(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1] - squares, 0))
+
+
+def _collect(block: Block, best: _Best, ids: np.ndarray, vectors: np.ndarray) -> int:
+    """Phases 2 and 3: sufficient entries from the lists, then what their scores lack. Returns the number of products."""
+    if not _fits(block.grid, vectors):
+        return _every(block, best, ids, vectors)
+    order, done = _order(block.grid), 0
+    reach_v = _norms(vectors, order)
     for a in range(0, len(block.ids), _QUERIES):
-        parts = _partials(block.grid[a:a + _QUERIES], vectors)
-        cut, cut_id = block.cut_score[a:a + _QUERIES], block.cut_id[a:a + _QUERIES]
-        near = np.zeros((len(cut), len(ids)), bool)
-        for p in parts:
-            near |= (p >= (cut / SLABS)[:, None]).astype(bool)
-        q, v = np.nonzero(near & (block.ids[a:a + _QUERIES, None] != ids[None]))
-        score = sum((p[q, v] for p in parts[1:]), parts[0][q, v])
+        grid, cut, cut_id = (x[a:a + _QUERIES] for x in (block.grid, block.cut_score, block.cut_id))
+        reach_q = _norms(grid, order)
+        is_open = block.ids[a:a + _QUERIES, None] != ids[None]
+        seen, listed = np.zeros(is_open.shape), np.zeros(is_open.shape, bool)
+        left = order
+        for k, s in enumerate(order):
+            if k and is_open.mean() <= _FEW:
+                break
+            part = grid[:, s] @ vectors[:, s].T
+            seen += part
+            listed |= part >= (cut / SLABS)[:, None]
+            left = order[k + 1:]
+            done += part.size * (s.stop - s.start)
+            # Cauchy-Schwarz on the slabs to come; the margins absorb rounding
+            is_open &= seen + reach_q[:, k, None] * reach_v[None, :, k] * (1 + 1e-9) + 1e-3 >= cut[:, None]
+        if not left:
+            is_open &= listed | (cut[:, None] <= 0)
+        q, v = np.nonzero(is_open)
+        score = seen[q, v] + _pairs(grid, vectors, q, v, left)
+        done += len(q) * sum(s.stop - s.start for s in left)
         keep = (score > cut[q]) | ((score == cut[q]) & (ids[v] <= cut_id[q]))
-        keep = keep.astype(bool)
         q, v, score = q[keep], v[keep], score[keep]
         if len(q) > 4 * best.k * len(cut):  # many ties at once: the best of each query suffice
-            order = np.lexsort((ids[v], -score.astype(np.float64), q))
-            q, v, score = q[order], v[order], score[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            if _fits(block.grid[a:a + _QUERIES], vectors):
-                q, v, score = (x[rank < best.k] for x in (q, v, score))
+            at = np.lexsort((ids[v], -score, q))
+            q, v, score = q[at], v[at], score[at]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < best.k
+            q, v, score = q[first], v[first], score[first]
         best.add(q + a, score, ids[v])
+    return done
 
 
-def _pass(vectors: DataFrame, block: Block, k: int) -> DataFrame:
+def _pass(vectors: DataFrame, sent: Broadcast, k: int) -> DataFrame:
     """One pass of a block over all vectors: ``q, score, vec_id``, at most k of a query from each task."""
-    sent = vectors.sparkSession.sparkContext.broadcast(block)  # at most block_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = sent.value
@@ -180,16 +228,27 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+_QUERY = "vec_id long, vector array<double>"
+_ANSWER = "query_id long, rank int, vec_id long, score long"
+
+
 def query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[Block]:
+    """The queries in blocks of about block_bytes; they are written once, a folder for each block."""
+    spark = queries.sparkSession
+    path = common.shared_dir(spark, "topk-queries")
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).head()
     if not n:
         return
     blocks = max(1, -(-n * max(width, 1) * 8 // block_bytes))
+    if blocks > 1:
+        queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("block").parquet(path)
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        part = spark.read.schema(_QUERY + ", block long").parquet(path).where(F.col("block") == b).drop("block") if blocks > 1 else queries
         rows = part.toArrow()
         if rows.num_rows:
             yield Block(rows.column(0).to_numpy(), grid_of(rows.column(1)))
+    if blocks > 1:
+        common.remove_path(spark, path)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, block_bytes: int = 8 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -198,18 +257,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, block_bytes: int =
     usable_rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = usable_rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     queries = usable_rows.where(is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    path = common.shared_dir(spark, "topk")
+    spark.createDataFrame([], _ANSWER).write.parquet(path)
     for block in query_blocks(queries, block_bytes):
-        last = _ranked(_pass(rows, block, k), k).where(F.col("rank") == k).select("q", "score", "vec_id").toArrow()  # one row for each query of the block
+        sent = spark.sparkContext.broadcast(block)  # at most block_bytes
+        last = _ranked(_pass(rows, sent, k), k).where(F.col("rank") == k).select("q", "score", "vec_id").toArrow()  # one row for each query of the block
+        sent.destroy()
         cut, cut_id = np.full(len(block.ids), -np.inf), np.full(len(block.ids), _LONG)
         at = last.column("q").to_numpy()
         cut[at], cut_id[at] = np.nextafter(last.column("score").to_numpy().astype(np.float64), -np.inf), last.column("vec_id").to_numpy()
         exact = np.abs(last.column("score").to_numpy()) < 2**53
         cut[at[exact]] = last.column("score").to_numpy()[exact]
-        found = _pass(rows, Block(block.ids, block.grid, cut, cut_id), k)
+        sent = spark.sparkContext.broadcast(Block(block.ids, block.grid, cut, cut_id))
+        found = _pass(rows, sent, k)
         names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(block.ids)), pa.int32()), "query_id": pa.array(block.ids)}))
         one = found.join(F.broadcast(names), "q")  # the ids of one block
+        # all rows of a query id are in one block, so its answers are whole here
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = one.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        out = out.unionByName(ranked.select("query_id", "rank", "vec_id", "score"))
-    return out
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(_ANSWER).parquet(path)

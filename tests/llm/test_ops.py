@@ -59,6 +59,22 @@ def test_topk(spark, block_bytes):
     assert rows(got) == sorted(plain_topk(vectors, 10), key=lambda r: tuple(map(repr, r)))
 
 
+def test_topk_prunes():
+    """Phases 2 and 3 multiply less than all components of all pairs, and lose nothing."""
+    r = np.random.default_rng(3)
+    for vectors, most in ((r.standard_normal((2000, 64)), 0.95), (r.standard_normal((2000, 64)) * 0.9 ** np.arange(64), 0.35), (np.repeat(r.standard_normal((20, 64)), 100, axis=0) + 0.1 * r.standard_normal((2000, 64)), 0.9)):
+        grid = np.floor(1024 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+        ids, block = np.arange(len(grid)), topk.Block(np.arange(0, 2000, 100), grid[::100])
+        best = topk._Best(20, 10)
+        first = sum(topk._gather(block, best, ids[k:k + 200], grid[k:k + 200], 10) for k in range(0, 2000, 200))
+        cut = np.array([-found[-1][0] for found in best.found], float)
+        again = topk._Best(20, 10)
+        second = topk._collect(topk.Block(block.ids, block.grid, cut, np.array([f[-1][1] for f in best.found])), again, ids, grid)
+        whole = grid[::100] @ grid.T
+        assert [[(-s, i) for s, i in found] for found in again.found] == [sorted(((int(s), int(i)) for i, s in enumerate(row) if i != 100 * q), key=lambda x: (-x[0], x[1]))[:10] for q, row in enumerate(whole)]
+        assert first < 0.5 * whole.size * 64 and second < most * whole.size * 64
+
+
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert rows(topk.search(df, F.col("vec_id") % 100 == 0)) == [(0, 1, 1, 2048 * 1024)]
