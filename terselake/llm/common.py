@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,53 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             base = "file:///tmp/terselake-checkpoints"
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for made in _scratch:
+        made.append(path)
+    return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``shared_dir`` gives within the block are deleted at its end.
+
+    Outside of such a block an intermediate stays as long as a DataFrame returned to the caller may
+    read it; it belongs to whoever owns ``spark.checkpoint.dir``.
+    """
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            remove_path(spark, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a folder and read back: cuts lineage, survives lost executors."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a fresh shared folder and read back."""
+    return written(df, shared_dir(df.sparkSession, label))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counted: str, limit: int) -> DataFrame:
+    """Inner join on ``key``; right has one row of each key, with the number of left's rows in ``counted``.
+
+    Keys of more than ``limit`` rows are joined where their rows lie: their rows of right are
+    broadcast, and they number less than left's rows / limit. No task gets more than limit rows of a key.
+    """
+    hot = F.col(counted) > limit
+    many = left.join(F.broadcast(right.where(hot)), key)
+    few = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key)
+    return many.unionByName(few)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

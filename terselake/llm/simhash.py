@@ -5,17 +5,19 @@ text of fewer words is one shingle; one without words has fingerprint zero), XXH
 a bit is set if it is set in over half of the shingle hashes. Two fingerprints link at a Hamming
 distance of at most 4.
 
-Join: the distinct fingerprints are rotated five ways, so that each of five bit blocks comes first
-once. Two fingerprints within 4 bits agree on at least one whole block, so joining within equal
-first blocks loses nothing. In a group the binary trie over the remaining bits is joined with
-itself: node pairs descend together, their differing bits add up, and a pair ends when it exceeds
+Join: the bits are cut into m >= 5 blocks. Two fingerprints within 4 bits agree on at least m - 4
+whole blocks, so the distinct fingerprints are permuted once for each choice of m - 4 blocks, which
+come first, and joining within equal first bits loses nothing. m follows their number, so that an
+average group stays small: 5 choices of 12 bits up to some 16 million, then 15 of 20, 35 of 27, 70 of 32. In
+a group the binary trie over the remaining bits is joined with itself: node pairs descend together, their differing bits add up, and a pair ends when it exceeds
 the budget. The budget rises from 0 to 4, and a pair of nodes that already lie in one component
 is not descended into, so a dense cluster costs its components, not all its pairs; a task emits a
 forest, at most one edge for each fingerprint. A group larger than an average partition is dealt
 into slices, and each pair of slices is a task of its own.
 
 Components: large-star / small-star contraction of the forests' edges, each round written to the
-shared checkpoint folder.
+shared checkpoint folder. Hubs, giant components and fingerprints of many rows are joined where their
+rows lie (``common.spread_join``), so no task gets all rows of one key.
 
 Edge cases: null text counts as empty; a null doc_id is no candidate for component_id unless all
 members lack an id; repeated rows share a fingerprint; an empty table gives no rows.
@@ -24,7 +26,8 @@ members lack an id; repeated rows share a fingerprint; an empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from terselake.llm import common
 
 BITS, MAX_DIFF, WORDS = 64, 4, 4
-#: (first bit from the top, length) of the blocks that the rotations bring to the front.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Average rows of a group beyond which the bits are cut into more blocks.
+GROUP = 4096
 #: Groups up to this size are never split.
 LEAST_SPLIT = 1024
 #: Node pairs held at once by a traversal.
@@ -179,45 +182,74 @@ def _split(prints: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np
     return lo
 
 
-def _partition_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    t = pa.Table.from_batches(tables)
-    key, rotated, fp = (t.column(c).to_numpy() for c in ("task", "rotated", "fp"))
-    rotated = rotated.astype(np.int64).view(np.uint64)
-    order = np.lexsort((rotated, key))
-    parent = trie_forest(key[order], rotated[order], shared=min(n for _, n in BLOCKS))
-    child = np.flatnonzero(parent != np.arange(len(parent)))
-    fp = fp[order]
-    for k in range(0, len(child), 50_000):
-        c = child[k:k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(fp[c]), pa.array(fp[parent[c]])], ["a", "b"])
-
-
-def _rotations(fp: Column) -> Column:
-    """The five (rotation, first block, rotated fingerprint) of a fingerprint."""
-    return F.array(*[
-        F.struct(
-            F.lit(k).alias("turn"),
-            F.shiftrightunsigned(F.shiftleft(fp, at), BITS - n).alias("block"),
-            (F.shiftleft(fp, at).bitwiseOR(F.shiftrightunsigned(fp, BITS - at)) if at else fp).alias("rotated"),
-        )
-        for k, (at, n) in enumerate(BLOCKS)
-    ])
+@dataclass(frozen=True)
+class Scheme:
+    """The blocks, (first bit from the top, length), and the choices of blocks that come first."""
+
+    blocks: tuple[tuple[int, int], ...]
+    chosen: tuple[tuple[int, ...], ...]
+    shared: int  # bits that all members of a group share
+
+
+def scheme(n: int) -> Scheme:
+    """The fewest blocks that keep an average group of n fingerprints small."""
+    for m in range(MAX_DIFF + 1, 2 * MAX_DIFF + 1):
+        edges = [BITS * k // m for k in range(m + 1)]
+        blocks = tuple((a, b - a) for a, b in zip(edges, edges[1:]))
+        chosen = tuple(combinations(range(m), m - MAX_DIFF))
+        shared = min(sum(blocks[k][1] for k in c) for c in chosen)
+        if n >> shared <= GROUP:
+            break
+    return Scheme(blocks, chosen, shared)
+
+
+def _partition_edges(shared: int):
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        t = pa.Table.from_batches(tables)
+        key, permuted, fp = (t.column(c).to_numpy() for c in ("task", "permuted", "fp"))
+        permuted = permuted.astype(np.int64).view(np.uint64)
+        order = np.lexsort((permuted, key))
+        parent = trie_forest(key[order], permuted[order], shared=shared)
+        child = np.flatnonzero(parent != np.arange(len(parent)))
+        fp = fp[order]
+        for k in range(0, len(child), 50_000):
+            c = child[k:k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[c]), pa.array(fp[parent[c]])], ["a", "b"])
+
+    return edges
+
+
+def _permutations(fp: Column, s: Scheme) -> Column:
+    """Of each choice: (its number, the first ``shared`` bits, the permuted fingerprint)."""
+    field = [F.shiftrightunsigned(F.shiftleft(fp, at), BITS - n) for at, n in s.blocks]
+    out = []
+    for k, first in enumerate(s.chosen):
+        permuted, at = F.lit(0).cast("long"), 0
+        for j in (*first, *(j for j in range(len(s.blocks)) if j not in first)):
+            at += s.blocks[j][1]
+            permuted = permuted.bitwiseOR(F.shiftleft(field[j], BITS - at))
+        out.append(F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(permuted, BITS - s.shared).alias("block"), permuted.alias("permuted")))
+    return F.array(*out)
+
+
+def _parts(spark, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 400_000)
 
 
 def link_edges(prints: DataFrame) -> DataFrame:
     """Forest edges ``a, b`` between distinct fingerprints (column ``fp``) that connect all links."""
-    spark = prints.sparkSession
     n = prints.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(BLOCKS) // 400_000)
-    limit = max(LEAST_SPLIT, n * len(BLOCKS) // parts)  # rows of a group beyond which it is split: an average partition
-    dealt = prints.select("fp", F.explode(_rotations(F.col("fp"))).alias("r")).select("fp", "r.*")
+    by = scheme(n)
+    parts = _parts(prints.sparkSession, n * len(by.chosen))
+    limit = max(LEAST_SPLIT, n * len(by.chosen) // parts)  # rows of a group beyond which it is split: an average partition
+    dealt = prints.select("fp", F.explode(_permutations(F.col("fp"), by)).alias("r")).select("fp", "r.*")
     large = (
         dealt.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > limit)
         .select("turn", "block", F.ceil(F.col("n") / limit).alias("slices"))
-    )  # at most 5 * n / limit groups, that is 5 * parts rows
+    )  # at most n * choices / limit groups, that is `parts` rows
     sliced = dealt.join(F.broadcast(large), ["turn", "block"], "left")
     s = F.coalesce(F.col("slices"), F.lit(1))
     own = F.pmod(F.xxhash64("fp"), s)
@@ -226,8 +258,8 @@ def link_edges(prints: DataFrame) -> DataFrame:
         F.sequence(F.lit(0).cast("long"), s - 1),
         lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")),
     )
-    spread = sliced.select("fp", "rotated", "turn", "block", F.explode(tasks).alias("t")).select("fp", "rotated", F.xxhash64("turn", "block", "t.i", "t.j").alias("task"))
-    edges = spread.repartition(parts, "task").mapInArrow(_partition_edges, "a long, b long")
+    spread = sliced.select("fp", "permuted", "turn", "block", F.explode(tasks).alias("t")).select("fp", "permuted", F.xxhash64("turn", "block", "t.i", "t.j").alias("task"))
+    edges = spread.repartition(parts, "task").mapInArrow(_partition_edges(by.shared), "a long, b long")
     return edges.distinct()
 
 
@@ -236,19 +268,24 @@ def link_edges(prints: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b``; root is the least node of its component."""
-    now = common.materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = common.shared_dir(spark, "edges")
+    now = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     seen = _shape(now)
     while True:
+        limit = max(LEAST_SPLIT, 2 * seen[0] // _parts(spark, seen[0]))  # edges of a node beyond which it is a hub
         # large star: every neighbour above u goes to the least of u and its neighbours
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = common.spread_join(both.where("b > a"), least, "a", "n", limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: u and its neighbours below go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = common.spread_join(large, low, "a", "n", limit).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = common.materialise(small, "edges")
+        last, path = path, common.shared_dir(spark, "edges")
+        now = common.written(small, path)
         shape = _shape(now)
+        common.remove_path(spark, last)
         if shape == seen:
             break
         seen = shape
@@ -261,32 +298,42 @@ def _shape(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def classes(printed: DataFrame) -> DataFrame:
-    """``fp, component_id, keeper_fp`` of every fingerprint in ``printed`` (columns ``id, fp``, already written).
+def classes(printed: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """``fp, n, component_id, keeper_fp`` and ``keeper`` of every fingerprint in ``printed`` (columns ``id, fp``, already written).
 
-    component_id is the least id of the component (null ids last), keeper_fp the fingerprint it has.
+    n counts its rows; component_id is the least id of the component (null ids last), keeper_fp the
+    fingerprint it has, and keeper the ``place`` columns of that row.
     """
-    prints = printed.groupBy("fp").agg(F.min("id").alias("least"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", *(place or []))
+    prints = printed.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     roots = components(link_edges(printed.select("fp").distinct()))
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
-    least = rooted.groupBy("root").agg(first.alias("k"))
-    return rooted.select("fp", "root").join(least.select("root", F.col("k.least").alias("component_id"), F.col("k.fp").alias("keeper_fp")), "root").drop("root")
+    rooted = common.materialise(prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", "n", "root"), "rooted")
+    linked = rooted.where("root is not null")
+    least = linked.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("k"), F.count("*").alias("members"))
+    size = rooted.count()
+    together = common.spread_join(linked.select("fp", "n", "root"), least, "root", "members", max(LEAST_SPLIT, size // _parts(printed.sparkSession, size)))
+    found = rooted.where("root is null").select("fp", "n", "first", F.col("fp").alias("keeper_fp")).unionByName(together.select("fp", "n", F.col("k.first").alias("first"), F.col("k.fp").alias("keeper_fp")))
+    return found.select("fp", "n", F.col("first.id").alias("component_id"), "keeper_fp", F.col("first").alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row."""
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     printed = common.materialise(with_fingerprint(named, "text", "fp").select("id", "fp"), "prints")
-    found = classes(printed)
-    return printed.join(found, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = printed.count()
+    found = common.materialise(classes(printed).select("fp", "n", "component_id"), "classes")
+    every = common.spread_join(printed, found, "fp", "n", max(LEAST_SPLIT, rows // _parts(docs.sparkSession, rows)))
+    return every.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the least id, with every column it came with."""
+    """One row of each component, the one with the least id (of its repeated rows any one), with every column it came with.
+
+    The choice is made on ids, fingerprints and places in the written files; whole rows move once, to
+    meet their places, which no two rows share.
+    """
     columns = docs.columns
     marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    printed = common.materialise(with_fingerprint(marked, "text", "fp").drop("text"), "printed-docs")
-    keepers = classes(printed.select("id", "fp")).where("fp = keeper_fp").select(F.col("fp").alias("kept_fp"), F.col("component_id").alias("kept_id"))
-    kept = printed.join(keepers, (F.col("fp") == F.col("kept_fp")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["fp", "id"]).select("row.*")
+    printed = common.materialise(with_fingerprint(marked, "text", "fp").drop("text"), "printed-docs").withColumns({"file": F.col("_metadata.file_name"), "line": F.col("_metadata.row_index")})
+    keepers = classes(printed.select("id", "fp", "file", "line"), ["file", "line"]).where("fp = keeper_fp").select("keeper.file", "keeper.line")
+    return printed.join(keepers, ["file", "line"], "left_semi").select("row.*")

@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -452,8 +453,18 @@ def test_fingerprints():
         assert simhash.fingerprint(text or "") == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("limit", [None, 40])
-def test_near_duplicates(spark, limit, monkeypatch):
+def test_schemes_lose_no_pair():
+    """Fingerprints within 4 bits share the first bits of at least one choice, whatever the number of blocks."""
+    assert [len(simhash.scheme(n).chosen) for n in (0, 10**7, 10**9, 10**11, 10**14)] == [5, 5, 15, 35, 70]
+    for n in (0, 10**9, 10**11, 10**14):
+        s = simhash.scheme(n)
+        assert sum(length for _, length in s.blocks) == 64
+        for blocks in combinations_with_replacement(range(len(s.blocks)), 4):  # the blocks that hold differing bits
+            assert any(not set(c) & set(blocks) for c in s.chosen)
+
+
+@pytest.mark.parametrize("limit, group", [(None, 4096), (40, 4096), (None, 0), (10, 0)])
+def test_near_duplicates(spark, limit, group, monkeypatch):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 60, dtype=np.int64)
     prints = [base]
@@ -468,6 +479,7 @@ def test_near_duplicates(spark, limit, monkeypatch):
     every = np.concatenate([*prints, hot, base[:5]]).tolist()
     if limit:
         monkeypatch.setattr(simhash, "LEAST_SPLIT", limit)
+    monkeypatch.setattr(simhash, "GROUP", group)
     df = spark.createDataFrame([(k + 10, int(p)) for k, p in enumerate(every)], "id long, fp long")
     got = {x.fp: x.component_id for x in simhash.classes(df).collect()}
     want = plain_components(every)
