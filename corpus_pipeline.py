@@ -52,7 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage leaves behind is deleted once its result is written, and
+    that result once the next one is; only the input of the last stage stays in the shared folder."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        path = common.shared_dir(spark, name)
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), path)
+        if last:
+            common.remove_path(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
