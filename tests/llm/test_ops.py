@@ -573,7 +573,8 @@ def test_store(spark):
     assert kept.count() == kept.distinct().count() == stored.select(F.explode("digests")).distinct().count()  # each chunk once
     ids = {x.doc_id: np.frombuffer(x.ids, "<u2") for x in id_store.streams(spark, store).collect()}
     assert (ids[200] == ids[201]).all() and ids[205].tolist() == [1]
-    assert stored.where("shard > 0").count() > 0
+    sizes = spark.read.parquet(store.manifest).collect()
+    assert len(sizes) > 10 and max(x.n_tokens for x in sizes) < 4000 + max(x[2] for x in got) and sorted(x.first_start for x in sizes)[0] == 0
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -603,6 +604,22 @@ def test_store_empty(spark, empty):
     assert id_store.checksums(spark, store).count() == 0
 
 
+def test_store_of_one_id(spark, monkeypatch):
+    """A repeated id is split over ranges, and a chunk of very many documents is lent where they lie."""
+    monkeypatch.setattr(id_store, "_HOT_ROWS", 3)
+    monkeypatch.setattr(id_store, "_ROWS_AT_ONCE", 7)
+    r = random.Random(4)
+    text = " ".join(r.choice(["Thor", "house", "river", "green", "of"]) for _ in range(2500))
+    for i in (None, 5):
+        store = id_store.write(spark.createDataFrame([(i, text)] * 40 + [(i, "a")] * 40, DOCS).repartition(5), WORD_FILE, shard_tokens=4000)
+        stored = spark.read.parquet(store.documents)
+        assert stored.select(F.shiftright("shard", id_store._RANGE_BITS)).distinct().count() > 1
+        got = sorted(((x.start, x.n_tokens, x.ids_crc32) for x in id_store.checksums(spark, store).collect()))
+        assert sorted(x[1:] for x in got) == sorted(x[2:] for x in plain_store([(0, text)] * 40 + [(0, "a")] * 40))
+        assert [x[0] for x in got] == list(np.cumsum([0, *(x[1] for x in got)])[:-1])
+        assert stored.select(F.explode(F.arrays_zip("digests", "held")).alias("x")).where("x.held").count() == stored.select(F.explode("digests")).distinct().count()
+
+
 def test_chunks_do_not_depend_on_what_precedes():
     r = np.random.default_rng(0)
     body = r.integers(0, 49_000, 20_000).astype("<u2")
