@@ -1,230 +1,395 @@
-"""Benchmark decontamination: a prefix-filtered join of document words with benchmark windows.
+"""Benchmark decontamination: a prefix-filtered set join of documents with benchmark windows.
 
 Words: A-Z lower-cased, maximal runs of bytes that are digits, letters or above 0x7F. A window is
-``window`` consecutive words of an item (a shorter, non-empty item is one window). All words of a
-window must occur, in order and side by side, so the containment threshold is 1 and one prefix
-token is necessary and sufficient as a join key: the window's rarest word, by its count over all
-documents. A document word that is a prefix token proposes its windows; bounds on length and
-position and on words foreign to the benchmark discard most proposals; the rest are verified
-word by word.
-
-The benchmark travels as broadcast blocks of a checked size (``block_bytes`` of item text each);
-a larger benchmark means more passes over the documents, not a larger broadcast.
+``window`` consecutive words of an item (a shorter, non-empty item is one window). Its tokens are
+its shingles of ``SHINGLE`` words (of all its words, if fewer). All of a window must occur, in order
+and side by side, so the containment threshold is 1 and the prefix is one token: the rarest of its
+shingles, by their counts over all documents. Then:
+
+1. the benchmark's shingles are counted over all documents, in one pass;
+2. every window keeps its rarest shingle; one that occurs nowhere rules its window out;
+3. in a second pass documents emit the places of prefix shingles, with the words around them;
+4. places and windows are joined on the shingle; bounds on position and length discard those whose
+   window would reach beyond the text, and the words are compared one by one.
+
+What a pass emits is held down by a bitmap of the wanted shingles' hashes: at most ``MAX_BITS`` bits
+are broadcast, whatever the size of the benchmark; a fuller bitmap only lets more rows through to the
+join, which is exact. Equal texts are matched once in a task, and shingles, windows and texts that
+occur very often are salted or joined where their rows lie.
 
 Edge cases: a null or empty text has no words and is clean; a null item_id or an item without
 words takes no part; repeated items count once; repeated documents get equal rows; an
-empty benchmark leaves every document clean.
+empty benchmark leaves every document clean; texts of any length are read in pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from terselake.llm import common
 
+SHINGLE = 3
+#: Bits of a bitmap: about this many for each value, within bounds.
+BITS_EACH, MIN_BITS, MAX_BITS = 64, 1 << 16, 1 << 28
+#: Rows of a key beyond which it is hot, at the least; and how many hot keys there may be at the most.
+HOT_ROWS, HOT_KEYS = 50_000, 1000
+#: Texts read at once, in bytes; a longer text is read in pieces of that size.
+_PIECE = 1 << 20
+#: Digests of texts that a task remembers.
+_SEEN = 200_000
 #: ASCII upper case to lower case; ASCII that is no letter or digit to a space.
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
-#: Proposals verified at once.
-_AT_ONCE = 200_000
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_LETTERS = np.random.default_rng(21).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def translated(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    return translated(text).split()
 
 
-@dataclass
-class Windows:
-    """The distinct windows of one length."""
+# ---------------------------------------------------------------- hashes of words and shingles
 
-    length: int
-    words: np.ndarray  # windows x length: word ids
-    item_ptr: np.ndarray  # items of window w: items[item_ptr[w]:item_ptr[w + 1]]
-    items: np.ndarray
-    post_ptr: np.ndarray  # postings of word v: post_ptr[v]:post_ptr[v + 1]
-    post_window: np.ndarray
-    post_offset: np.ndarray
 
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2] * 2
 
-@dataclass
-class Block:
-    """Some whole items of the benchmark, indexed."""
-
-    item_ids: list[str]  # sorted as strings
-    vocabulary: dict[bytes, int]
-    by_length: list[Windows]
-
-
-def vocabulary(items: list[tuple[str, str]]) -> dict[bytes, int]:
-    return {w: k for k, w in enumerate(sorted({w for _, text in items for w in words_of(text)}))}
-
-
-def build_block(items: list[tuple[str, str]], vocab: dict[bytes, int], counts: np.ndarray, window: int) -> Block:
-    names = sorted({name for name, _ in items})
-    index = {name: k for k, name in enumerate(names)}
-    found: dict[int, dict[tuple, set[int]]] = {}
-    for name, text in items:
-        ids = [vocab[w] for w in words_of(text)]
-        length = min(window, len(ids))
-        for k in range(len(ids) - length + 1) if length else ():
-            found.setdefault(length, {}).setdefault(tuple(ids[k:k + length]), set()).add(index[name])
-    by_length = []
-    for length, windows in sorted(found.items()):
-        grid = np.array(list(windows), np.int32).reshape(-1, length)
-        owners = [sorted(x) for x in windows.values()]
-        offset = counts[grid].argmin(axis=1)  # the rarest word; of equals the first
-        prefix = grid[np.arange(len(grid)), offset]
-        order = np.argsort(prefix, kind="stable")
-        by_length.append(Windows(
-            length, grid, np.cumsum([0, *map(len, owners)]), np.array([x for o in owners for x in o], np.int32),
-            np.searchsorted(prefix[order], np.arange(len(vocab) + 1)), order.astype(np.int32), offset[order].astype(np.int32),
-        ))
-    return Block(names, vocab, by_length)
-
-
-def match(block: Block, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(mask of hit words, indices of the items with an occurring window)."""
-    n = len(words)
-    ids = np.fromiter(map(block.vocabulary.get, words, repeat(-1)), np.int32, n)
-    hit, items = np.zeros(n, bool), []
-    foreign = np.concatenate([[0], np.cumsum(ids < 0)])
-    for w in block.by_length:
-        if n < w.length:
-            continue
-        possible = foreign[w.length:] == foreign[:-w.length]  # starts of runs of benchmark words
-        if not possible.any():
-            continue
-        near = np.zeros(n + 1, np.int64)  # words that such a run covers
-        starts = np.flatnonzero(possible)
-        np.add.at(near, starts, 1)
-        np.add.at(near, starts + w.length, -1)
-        at = np.flatnonzero(near.cumsum()[:n] > 0)
-        many = w.post_ptr[ids[at] + 1] - w.post_ptr[ids[at]]
-        at, many = at[many > 0], many[many > 0]
-        ends = np.cumsum(many)
-        first = 0
-        while first < len(at):
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _AT_ONCE, side="right")))
-            a, m = at[first:last], many[first:last]
-            pos = np.repeat(a, m)
-            post = np.arange(len(pos)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(w.post_ptr[ids[a]], m)
-            start = pos - w.post_offset[post]
-            ok = (start >= 0) & (start + w.length <= n)
-            start, post = start[ok], post[ok]
-            ok = possible[start]
-            start, which = start[ok], w.post_window[post[ok]]
-            ok = (ids[start[:, None] + np.arange(w.length)] == w.words[which]).all(axis=1)
-            for s in np.unique(start[ok]):
-                hit[s:s + w.length] = True
-            for v in np.unique(which[ok]):
-                items.append(w.items[w.item_ptr[v]:w.item_ptr[v + 1]])
-            first = last
-    return hit, np.unique(np.concatenate(items)) if items else np.zeros(0, np.int32)
-
-
-def read_items(benchmark: DataFrame, block_bytes: int, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of about block_bytes of text; one block is on the driver at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield [(r.item, r.text) for r in part.collect()]
-
-
-def word_counts(docs: DataFrame, vocab: dict[bytes, int], text_col: str) -> np.ndarray:
-    """How often each benchmark word occurs in all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
-
-    def run(batches):
-        get, total = sent.value.get, np.zeros(len(sent.value), np.int64)
-        for batch in batches:
-            for text in common.texts_of(batch, "text"):
-                words = words_of(text)
-                ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                total += np.bincount(ids[ids >= 0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
 
-    counts = np.zeros(len(vocab), np.int64)
-    if vocab:
-        rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-        counts[rows.column("word").to_numpy()] = rows.column("n").to_numpy()  # at most the words of one block
-    return counts
+def _power_rows(k: int, n: int) -> list[np.ndarray]:
+    """The powers of a base and of its inverse, modulo 2**64."""
+    if len(_powers[k][0]) < n:
+        size = max(n, 2 * _PIECE)
+        _powers[k] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)])) for base in (_BASES[k], pow(_BASES[k], -1, 1 << 64))]
+    return _powers[k]
 
 
-def blocks_of(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, item_col: str, text_col: str) -> Iterator[Block]:
-    for items in read_items(benchmark, block_bytes, item_col, text_col):
-        vocab = vocabulary(items)
-        yield build_block(items, vocab, word_counts(docs, vocab, text_col), window)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Per document row: ``doc_id, n_words, n_hit, n_items, items array<string>``."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    blocks = list(_passes(narrow, blocks_of(docs, benchmark, window, block_bytes, item_col, text_col), spark))
-    final = "doc_id long, n_words long, n_hit long, n_items long, items array<string>"
-    if len(blocks) == 1:
-        return blocks[0].select("doc_id", "n_words", F.expr("cast(bit_count_of_hits as long)").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
-    # the same text under the same id has the same result, so (id, hash of the text) names a row
-    every = blocks[0]
-    for b in blocks[1:]:
-        every = every.unionByName(b)
-    merged = every.groupBy("doc_id", "text_hash", "n_words").agg(F.collect_set("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-
-    def unite(batch: pa.RecordBatch):
-        n_hit = []
-        for masks in batch.column(3).to_pylist():
-            n_hit.append(int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in masks])).sum()) if masks else 0)
-        items = batch.column(4)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items.to_pylist()], pa.int64()), items], ["doc_id", "text_hash", *[c.split()[0] for c in final.split(", ")[1:]]])
-
-    united = common.map_batches(merged, unite, final.replace("doc_id long", "doc_id long, text_hash long"))
-    rows = blocks[0].select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    return rows.join(united, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("doc_id", "n_words", "n_hit", "n_items", "items")
-
-
-def _passes(narrow: DataFrame, blocks: Iterator[Block], spark) -> Iterator[DataFrame]:
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)  # at most block_bytes of item text
-
-        def run(batch: pa.RecordBatch, sent=sent):
-            b = sent.value
-            n_words, n_hit, hits, items = [], [], [], []
-            for text in common.texts_of(batch, "text"):
-                words = words_of(text)
-                hit, found = match(b, words)
-                n_words.append(len(words))
-                n_hit.append(int(hit.sum()))
-                hits.append(np.packbits(hit).tobytes() if n_hit[-1] else None)
-                items.append([b.item_ids[k] for k in found])
+def _sums(values: np.ndarray, k: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial hashes of values[start:end]."""
+    up, down = _power_rows(k, len(values) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:len(values)])])
+    return _mixed((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+
+
+@dataclass
+class Piece:
+    """The words of some whole texts, or of a part of a long one."""
+
+    data: bytes
+    starts: np.ndarray  # of the words in data
+    ends: np.ndarray
+    text: np.ndarray  # the text that each word belongs to
+    place: np.ndarray  # its place there
+    first: int  # words before this one, and from `last` on, belong to the pieces next to this one
+    last: int
+
+    @classmethod
+    def of(cls, data: bytes) -> "Piece":
+        is_word = np.frombuffer(data, np.uint8) != 32
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], is_word, [False]]).astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        return cls(data, starts, ends, np.zeros(len(starts), np.int64), np.arange(len(starts)), 0, len(starts))
+
+    def word_hashes(self) -> np.ndarray:
+        return _sums(_LETTERS[np.frombuffer(self.data, np.uint8)], 0, self.starts, self.ends)
+
+    def words(self, a: int, b: int) -> str:
+        return " ".join(self.data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist()))
+
+
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` words."""
+    at = np.arange(max(0, len(hashes) - size + 1))
+    return _sums(hashes, 1, at, at + size)
+
+
+def pieces(texts: Iterable[str], window: int) -> Iterator[Piece]:
+    """All words of all texts; of a long text the pieces overlap, so that a window around any word is whole in one."""
+    held: list[bytes] = []
+    numbers: list[int] = []
+    size = 0
+
+    def several() -> Piece:
+        piece = Piece.of(b" ".join(held))
+        offsets = np.cumsum([0, *(len(x) + 1 for x in held)])[:-1]
+        which = np.searchsorted(offsets, piece.starts, side="right") - 1
+        piece.text = np.array(numbers)[which]
+        piece.place = np.arange(len(which)) - np.searchsorted(which, which)
+        return piece
+
+    for number, text in enumerate(texts):
+        data = translated(text)
+        if len(data) <= _PIECE:
+            held.append(data)
+            numbers.append(number)
+            size += len(data)
+            if size >= _PIECE:
+                yield several()
+                held, numbers, size = [], [], 0
+            continue
+        at, carried, before, done = 0, b"", 0, 0  # before: words ahead of the carried ones; done: words handed out
+        while at < len(data):
+            cut = data.find(b" ", at + _PIECE)
+            cut = len(data) if cut < 0 else cut
+            piece = Piece.of(carried + data[at:cut])
+            at, n = cut, len(piece.starts)
+            piece.text, piece.place = np.full(n, number), np.arange(n) + before
+            piece.first = done - before
+            piece.last = n if at == len(data) else max(piece.first, n - window)
+            done = before + piece.last
+            yield piece
+            keep = max(0, piece.last - window)
+            carried = piece.data[piece.starts[keep]:] if keep < n else b""
+            before += min(keep, n)
+    if held:
+        yield several()
+
+
+# ---------------------------------------------------------------- bitmaps
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """A set of hashes by their first bits: never misses one, and may hold others."""
+
+    words: np.ndarray
+    bits: int
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bitmap(hashes: DataFrame, column: str = "h") -> Bitmap:
+    """Of a column of hashes; at most MAX_BITS / 64 rows reach the driver."""
+    n = hashes.count()
+    bits = max(MIN_BITS, min(MAX_BITS, 1 << (max(1, n * BITS_EACH) - 1).bit_length())).bit_length() - 1
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    rows = hashes.select(F.shiftright(at, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Bitmap(words, bits)
+
+
+# ---------------------------------------------------------------- the benchmark
+
+
+def benchmark_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
+    """``item, key, size, words, shingles``: the distinct windows of each item; key is a 128-bit hash of the words."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for item, text in zip(batch.column(0).to_pylist(), common.texts_of(batch, "text"), strict=True):
+            piece = Piece.of(translated(text))
+            n = len(piece.starts)
+            size = min(window, n)
+            if not size:
+                continue
+            short = min(SHINGLE, size)
+            h = shingles(piece.word_hashes(), short).view(np.int64)
+            found: dict[bytes, tuple[str, list[int]]] = {}
+            for k in range(n - size + 1):
+                words = piece.words(k, k + size)
+                found.setdefault(xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass")), (words, h[k:k + size - short + 1].tolist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text_hash", "n_words", "bit_count_of_hits", "hits", "items"],
+                [pa.array([item] * len(found)), pa.array(list(found), pa.binary()), pa.array([size] * len(found), pa.int32()), pa.array([w for w, _ in found.values()]), pa.array([s for _, s in found.values()], pa.list_(pa.int64()))],
+                ["item", "key", "size", "words", "shingles"],
             )
 
-        hashed = narrow.withColumn("text_hash", F.xxhash64("text"))
-        yield common.map_batches(hashed, run, "doc_id long, text_hash long, n_words long, bit_count_of_hits long, hits binary, items array<string>")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null").distinct()
+    return common.map_batches(items, run, "item string, key binary, size int, words string, shingles array<long>")
+
 
+def shingle_counts(texts: DataFrame, wanted: Bitmap, sizes: list[int], window: int) -> DataFrame:
+    """``h, n``: how often the shingles of the bitmap occur in all texts."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)  # at most MAX_BITS
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows without a hit, with every column they came with; one pass for each block."""
-    kept = docs
-    for k, block in enumerate(blocks_of(docs, benchmark, window, block_bytes, item_col, text_col)):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(common.texts_of(batch, "text"), window):
+            hashes = piece.word_hashes()
+            every = [h[ok] for _, h, ok in _wanted(piece, hashes, sent.value, sizes)]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-        def run(batch: pa.RecordBatch, sent=sent):
-            keep = [not match(sent.value, words_of(t))[0].any() for t in common.texts_of(batch, text_col)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    return common.map_batches(texts, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-        kept = common.map_batches(common.materialise(kept, "clean") if k else kept, run, docs.schema)
-    return kept
 
+def _wanted(piece: Piece, hashes: np.ndarray, wanted: Bitmap, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, hashes, mask of the shingles that the bitmap holds) of each size; a shingle lies in one text and counts in one piece."""
+    for size in sizes:
+        h = shingles(hashes, size)
+        ok = wanted.holds(h)
+        if len(h):
+            ok &= piece.text[:len(h)] == piece.text[size - 1:]
+            ok[:piece.first] = False
+            ok[piece.last:] = False
+        yield size, h, ok
 
+
+def _limit(total: int) -> int:
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``h, n, offset, size, words, key``: of each distinct window that may occur its rarest shingle, of equals the first."""
+    distinct = windows.dropDuplicates(["key"]).drop("item")
+    tokens = distinct.select("key", F.posexplode("shingles").alias("offset", "h"))
+    listed = tokens.groupBy("h").agg(F.count("*").alias("m")).join(counts, "h")  # of the counted ones, those that are no shingle of the benchmark go here
+    m = distinct.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).head()[0]
+    known = common.spread_join(tokens, listed, "h", "m", _limit(m))
+    rarest = known.groupBy("key").agg(F.min(F.struct("n", "offset", "h")).alias("r"), F.count("*").alias("k"))
+    # a window with a shingle that occurs nowhere has fewer known ones than it has shingles
+    return distinct.join(rarest, "key").where(F.col("k") == F.size("shingles")).select("r.h", "r.n", "r.offset", "size", "words", "key")
+
+
+# ---------------------------------------------------------------- the documents
+
+
+_FOUND = "doc_id long, text binary, n_words long, maybe boolean, place long, h long, ahead int, around string"
+
+
+def digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def _places(narrow: DataFrame, wanted: Bitmap, sizes: list[int], window: int) -> DataFrame:
+    """One row for each document (h is null), and one for each place of a wanted shingle in a distinct text."""
+    sent = narrow.sparkSession.sparkContext.broadcast(wanted)  # at most MAX_BITS
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            digests = [digest(t) for t in common.texts_of(batch, "text")]
+            n_words, maybe = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            new = [d not in seen for d in digests]
+            rows: list[tuple] = []
+            for piece in pieces(common.texts_of(batch, "text"), window):
+                if len(piece.text):
+                    np.maximum.at(n_words, piece.text, piece.place + 1)
+                for size, h, ok in _wanted(piece, piece.word_hashes(), sent.value, sizes):
+                    at = np.flatnonzero(ok)
+                    maybe[piece.text[at]] = True
+                    for p, t, value in zip(at.tolist(), piece.text[at].tolist(), h[at].view(np.int64).tolist(), strict=True):
+                        if new[t]:
+                            low = p - min(window - size, int(piece.place[p]), p)
+                            high = min(p + window, len(piece.text))
+                            high -= int(np.count_nonzero(piece.text[p:high] != t))
+                            rows.append((None, digests[t], None, None, int(piece.place[p]), value, p - low, piece.words(low, high)))
+                if len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types, strict=True)], names)
+            # copies within a batch are all emitted; those of later batches are not
+            if len(seen) > _SEEN:
+                seen.clear()
+            seen.update(d for d, m in zip(digests, maybe.tolist()) if m)
+            none = [pa.nulls(batch.num_rows, x) for x in types[4:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(n_words), pa.array(maybe), *none], names)
+
+    return narrow.mapInArrow(run, _FOUND)
+
+
+def _salted(places: DataFrame, rare: DataFrame) -> DataFrame:
+    """Places joined with the windows of their shingle; a shingle of many places is dealt over several tasks."""
+    total = rare.select("h", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    limit = _limit(total)
+    slices = F.ceil(F.col("n") / limit)
+    hot = rare.where(F.col("n") > limit).select("h", slices.alias("slices")).distinct()  # less than total / limit rows
+    own = F.pmod(F.xxhash64("text", "place"), F.coalesce(F.col("slices"), F.lit(1)))
+    left = places.join(F.broadcast(hot), "h", "left").withColumn("slice", own).drop("slices")
+    right = rare.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    return left.join(right, ["h", "slice"])
+
+
+@dataclass(frozen=True)
+class Found:
+    documents: DataFrame  # doc_id, text (digest), n_words, maybe
+    texts: DataFrame  # text, copies, n_hit, items: of every text that may be hit
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str | None, item_col: str, text_col: str) -> Found:
+    spark = docs.sparkSession
+    narrow = docs.select((F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    windows = common.materialise(benchmark_windows(benchmark, window, item_col, text_col), "windows")
+    sizes = sorted({min(SHINGLE, r.size) for r in windows.select("size").distinct().collect()})  # at most `window` rows
+    tokens = windows.select(F.explode("shingles").alias("h")).distinct()
+    counts = shingle_counts(narrow.select("text"), bitmap(tokens), sizes, window)
+    rare = common.materialise(prefixes(windows, counts), "prefixes")
+    found = common.materialise(_places(narrow, bitmap(rare.select("h").distinct()), sizes, window), "places")
+
+    joined = _salted(found.where("h is not null").select("text", "place", "h", "ahead", "around"), rare)
+    around = F.split("around", " ")
+    since = F.col("ahead") - F.col("offset")
+    in_bounds = (since >= 0) & (since + F.col("size") <= F.size(around))
+    same = F.array_join(F.slice(around, F.greatest(since, F.lit(0)) + 1, F.col("size")), " ") == F.col("words")
+    hits = common.materialise(joined.where(in_bounds & same).select("text", (F.col("place") - F.col("offset")).alias("start"), "size", "key", "n").distinct(), "hits")
+
+    def covered(spans: Column) -> Column:
+        """Words in the union of some spans, sorted by start."""
+        step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), s["stop"] - F.greatest(s["start"], acc["to"]))).alias("n"), F.greatest(acc["to"], s["stop"]).alias("to"))
+        return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), step, lambda acc: acc["n"])
+
+    spans = hits.select("text", "start", (F.col("start") + F.col("size")).alias("stop")).distinct().groupBy("text").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    owners = windows.groupBy("key").agg(F.collect_set("item").alias("items"))
+    held = hits.select("text", "key").distinct()
+    used = held.groupBy("key").agg(F.count("*").alias("n")).join(owners, "key")
+    total = held.count()
+    items = common.spread_join(held, used, "key", "n", _limit(total)).select("text", F.explode("items").alias("item")).groupBy("text").agg(F.collect_set("item").alias("items"))
+    documents = found.where("h is null").select("doc_id", "text", "n_words", "maybe")
+    copies = documents.where("maybe").groupBy("text").agg(F.count("*").alias("copies"))
+    hit = spans.select("text", covered(F.col("spans")).alias("n_hit")).join(items, "text")
+    texts = copies.join(hit, "text", "left").select("text", "copies", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return Found(documents, common.materialise(texts, "texts"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Per document row: ``doc_id, n_words, n_hit, n_items, items array<string>``."""
+    found = search(docs, benchmark, window, id_col, item_col, text_col)
+    total = found.texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0]
+    looked = common.spread_join(found.documents.where("maybe"), found.texts, "text", "copies", _limit(total)).select("doc_id", "n_words", "n_hit", "items")
+    clean = found.documents.where("not maybe").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    return looked.unionByName(clean).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The rows without a hit, with every column they came with.
+
+    Rows whose text is surely not among the hit ones pass as they are; only the others, few beside the
+    hit ones themselves, are joined.
+    """
+    found = search(docs, benchmark, window, None, item_col, text_col)
+    bad = found.texts.where("n_hit > 0").select("text", "copies")
+    first = lambda digests: np.frombuffer(b"".join([d[:8] for d in digests]), "<i8")
+    wanted = bitmap(common.map_batches(bad.select("text"), lambda batch: [pa.RecordBatch.from_arrays([pa.array(first(batch.column(0).to_pylist()))], ["h"])], "h long"))
+    total = bad.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0]
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # at most MAX_BITS
+    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("words"))
+
+    def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        digests = [digest(t) for t in common.texts_of(batch, "words")]
+        near = sent.value.holds(first(digests).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(near)], ["row", "text", "near"])
+
+    marked = common.map_batches(held, name, StructType([StructField("row", docs.schema), StructField("text", BinaryType()), StructField("near", BooleanType())]))
+    hot = F.col("copies") > _limit(total)
+    # hot: less than total / limit rows
+    rest = marked.where("near").join(F.broadcast(bad.where(hot).select("text")), "text", "left_anti").join(bad.where(~hot).select("text"), "text", "left_anti")
+    return marked.where("not near").select("row.*").unionByName(rest.select("row.*"))

@@ -521,18 +521,34 @@ def plain_overlaps(docs, items, window):
     return sorted(out, key=lambda r: tuple(map(repr, r)))
 
 
-@pytest.mark.parametrize("block_bytes", [4 << 20, 300])
-def test_overlaps(spark, block_bytes):
+@pytest.mark.parametrize("piece, hot, bits", [(None, None, None), (100, 1, 1 << 6)])
+def test_overlaps(spark, piece, hot, bits, monkeypatch):
+    """Also with texts in small pieces, every key hot, and bitmaps that let nearly everything through."""
+    for name, value in (("_PIECE", piece), ("HOT_ROWS", hot), ("MIN_BITS", bits), ("MAX_BITS", bits)):
+        if value:
+            monkeypatch.setattr(decontaminate, name, value)
     r = random.Random(8)
     vocab = [f"w{k}" for k in range(40)] + ["É", "the", "The"]
     text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
     items = [(k, text(r.randint(0, 30))) for k in range(25)] + [(30, None), (None, text(12)), (31, "the the the the the the the the the the the the"), (3, text(11)), (32, "w1")]
     docs = [(k, text(r.randint(0, 60)) + r.choice(["", " " + (items[r.randrange(25)][1] or "").upper() + ", " + text(3)])) for k in range(80)] + [(90, None), (91, ""), (92, "the " * 500), (5, "w1"), (5, "w1"), (None, "w1 w2")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = [(x.doc_id, x.n_words, x.n_hit, x.n_items, tuple(sorted(x["items"]))) for x in decontaminate.overlaps(d, b, 5, block_bytes).collect()]
+    got = [(x.doc_id, x.n_words, x.n_hit, x.n_items, tuple(sorted(x["items"]))) for x in decontaminate.overlaps(d, b, 5).collect()]
     assert sorted(got, key=lambda r: tuple(map(repr, r))) == plain_overlaps(docs, items, 5)
-    kept = decontaminate.drop_contaminated(d.withColumn("items", F.lit(1)), b, 5, block_bytes)
-    assert kept.columns == ["doc_id", "text", "items"] and kept.count() == sum(x[2] == 0 for x in plain_overlaps(docs, items, 5))
+    kept = decontaminate.drop_contaminated(d.withColumns({"items": F.lit(1), "row": F.lit(2)}), b, 5)
+    assert kept.columns == ["doc_id", "text", "items", "row"] and kept.count() == sum(x[2] == 0 for x in plain_overlaps(docs, items, 5))
+
+
+def test_pieces_hold_every_word(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_PIECE", 40)
+    r = random.Random(5)
+    texts = ["", "a", *(" ".join("x" * r.choice([1, 2, 9, 60]) + str(k) for k in range(r.randint(0, 40))) for _ in range(30))]
+    seen = [dict() for _ in texts]
+    for p in decontaminate.pieces(texts, 4):
+        for k in range(p.first, p.last):
+            word = p.words(k, k + 1)
+            assert seen[p.text[k]].setdefault(int(p.place[k]), word) == word and (p.place[k] < 3 or p.text[k - 3] == p.text[k])
+    assert [[s[k] for k in range(len(s))] for s in seen] == [t.split() for t in texts]
 
 
 def test_overlaps_empty(odd, empty, spark):
