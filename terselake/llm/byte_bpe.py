@@ -36,7 +36,7 @@ from terselake.llm import common
 from terselake.llm.word_table import WordTable
 
 #: Bounds of a worker's stores.
-_STATES, _PAIRS, _PIECES = 200_000, 200_000, 150_000
+_STATES, _PAIRS, _PIECES = 300_000, 200_000, 150_000
 #: Bytes read between two looks at the size of the state store, and the longest piece that is remembered.
 _BETWEEN, _LONGEST = 4096, 256
 _NEVER = 1 << 60
@@ -61,18 +61,31 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        #: The tokens' trie: children by node << 8 | byte, the token at each node or -1, and whether longer ones pass it.
+        self.child: dict[int, int] = {}
+        self.token_at, self.passed = [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.passed[node] = True
+                if (below := self.child.get(node << 8 | byte)) is None:
+                    below = self.child[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.passed.append(False)
+                node = below
+            self.token_at[node] = rank
         self.halves = common.BoundedMemo(self._halves_of, len(ranks))
         self.compatible = common.BoundedMemo(self._compatible, _PAIRS)
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[tuple[int, bytes], int] = {}
-        #: Of each state: its last settled token (-1 at the start), the bytes since then, the last token at
-        #: each place in them (-2 where no live history ends), and the places where a token may be under way.
-        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
+        #: Of each state: its last settled token (-1 at the start), the bytes since then, the last token at each place
+        #: in them (-2 where no live history ends), and the places where a token may be under way, with their trie nodes.
+        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = []
+        self.rests: list[bytes | None] = []
         self.step: dict[int, tuple[int, bytes]] = _Steps(self)
-        self._state(-1, b"", (), ())
+        self._state(-1, b"", (), (), ())
 
     def _merge(self, data: bytes, until: int) -> list[bytes]:
         """Plain BPE of one token's bytes, down to `until` parts: the least-ranked pair merges first, of equals the left one."""
@@ -114,11 +127,12 @@ class Transducer:
             else:
                 limit, b = b + 1, of_b[0]
 
-    def _state(self, settled: int, pending: bytes, last: tuple[int, ...], live: tuple[int, ...]) -> int:
+    def _state(self, settled: int, pending: bytes, last: tuple[int, ...], places: tuple[int, ...], nodes: tuple[int, ...]) -> int:
         key = (settled, pending)
         if (k := self.number.get(key)) is None:
             k = self.number[key] = len(self.states)
-            self.states.append((settled, pending, last, live))
+            self.states.append((settled, pending, last, places, nodes))
+            self.rests.append(None)
         return k
 
     def _history(self, last: tuple[int, ...], at: int) -> list[int]:
@@ -130,33 +144,35 @@ class Transducer:
         return out[::-1]
 
     def transition(self, key: int) -> tuple[int, bytes]:
-        settled, pending, last, live = self.states[key >> 8]
-        n = len(pending)
-        pending += _BYTE[key & 255]
-        get, prefixes, token, under_way = self.ranks.get, self.prefixes, -2, []
-        for start in (*live, n):  # from the first on: the longest token first
-            part = pending[start:]
-            if token == -2 and (t := get(part)) is not None and self.compatible[last[start - 1] if start else settled, t]:
+        settled, pending, last, places, nodes = self.states[key >> 8]
+        byte, n, length = key & 255, len(pending), self.length
+        child, token_at, passed, token = self.child.get, self.token_at, self.passed, -2
+        under_way, reached = [], []
+        for start, node in zip((*places, n), (*nodes, 0)):  # from the first on: the longest token first
+            if (node := child(node << 8 | byte)) is None:
+                continue
+            if token == -2 and (t := token_at[node]) >= 0 and self.compatible[last[start - 1] if start else settled, t]:
                 token = t
-            if part in prefixes:
+            if passed[node]:
                 under_way.append(start)
+                reached.append(node)
         n += 1
         last = (*last, token)
-        if under_way and under_way[0] == 0:  # a token may still start at the settled boundary
-            return self._state(settled, pending, last, tuple(under_way)), b""
         # the last boundary that lies on the history of all places where a token is under way or may start
-        length, places = self.length, {n, *under_way}
-        while len(places) > 1:
-            k = max(places)
-            places.remove(k)
-            places.add(k - length[last[k - 1]])
-        cut = places.pop()
-        if not cut:
-            return self._state(settled, pending, last, tuple(under_way)), b""
-        out = self._history(last, cut)
-        emitted = _IDS.pack(out[0]) if len(out) == 1 else b"".join(map(_IDS.pack, out))
+        cut = n
+        for other in reversed(under_way):
+            while cut != other:
+                if cut > other:
+                    cut -= length[last[cut - 1]]
+                else:
+                    other -= length[last[other - 1]]
+            if not cut:
+                return self._state(settled, pending + _BYTE[byte], last, tuple(under_way), tuple(reached)), b""
         if cut == n:
-            return self._state(token, b"", (), ()), emitted
+            if length[token] == n:
+                return self._state(token, b"", (), (), ()), _IDS.pack(token)
+            return self._state(token, b"", (), (), ()), b"".join(map(_IDS.pack, self._history(last, n)))
+        out = self._history(last, cut)
         rest, joined = [], {cut}  # places whose history misses the new boundary are dead
         for k in range(cut + 1, n + 1):
             t = last[k - 1]
@@ -165,11 +181,15 @@ class Transducer:
                 rest.append(t)
             else:
                 rest.append(-2)
-        return self._state(out[-1], pending[cut:], tuple(rest), tuple([k - cut for k in under_way if k in joined])), emitted
+        live = [(k - cut, node) for k, node in zip(under_way, reached) if k in joined]
+        return self._state(out[-1], pending[cut:] + _BYTE[byte], tuple(rest), tuple([k for k, _ in live]), tuple([x for _, x in live])), b"".join(map(_IDS.pack, out))
 
     def rest(self, state: int) -> bytes:
-        last = self.states[state][2]
-        return b"".join(map(_IDS.pack, self._history(last, len(last))))
+        """What is still to be emitted when the bytes end in a state."""
+        if (found := self.rests[state]) is None:
+            last = self.states[state][2]
+            found = self.rests[state] = b"".join(map(_IDS.pack, self._history(last, len(last))))
+        return found
 
     def encode(self, data: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
