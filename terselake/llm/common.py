@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terselake.sources.shared import materialise, remove_path, scratch, shared_dir, written  # noqa: F401
+
 #: Rows whose crc32(doc_id) falls in this residue are held out of every fit.
 HOLDOUT_FOLDS, HOLDOUT_RESIDUE = 5, 0
 
@@ -18,74 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is unset and the master is local (tests on one machine) is a folder chosen
-    here; on a cluster that raises ValueError, since a folder of one machine would not be shared.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            base = jvm_dir.get()
-        elif spark.sparkContext.master.startswith("local"):
-            base = "file:///tmp/terselake-checkpoints"
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    for made in _scratch:
-        made.append(path)
-    return path
-
-
-_scratch: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Folders that ``shared_dir`` gives within the block are deleted at its end.
-
-    Outside of such a block an intermediate stays as long as a DataFrame returned to the caller may
-    read it; it belongs to whoever owns ``spark.checkpoint.dir``.
-    """
-    made: list[str] = []
-    _scratch.append(made)
-    try:
-        yield
-    finally:
-        _scratch.remove(made)
-        for path in made:
-            remove_path(spark, path)
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to a folder and read back: cuts lineage, survives lost executors."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to a fresh shared folder and read back."""
-    return written(df, shared_dir(df.sparkSession, label))
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, counted: str, limit: int) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, counted: str, limit: int, salt: Column | None = None) -> DataFrame:
     """Inner join on ``key``; right has one row of each key, with the number of left's rows in ``counted``.
 
-    Keys of more than ``limit`` rows are joined where their rows lie: their rows of right are
-    broadcast, and they number less than left's rows / limit. No task gets more than limit rows of a key.
+    A key of more than ``limit`` rows is dealt into slices of about that many, and its row of right goes
+    to each; the numbers of slices are broadcast, for less than left's rows / limit keys. ``salt``
+    deals left's rows; it must not change when a task runs again: a hash of columns that tell rows apart,
+    or by default the places of rows, for a left that is read from files.
     """
-    hot = F.col(counted) > limit
-    many = left.join(F.broadcast(right.where(hot)), key)
-    few = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key)
-    return many.unionByName(few)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    slices = F.ceil(F.col(counted) / limit)
+    hot = F.broadcast(right.where(F.col(counted) > limit).select(key, slices.alias("_slices")))
+    own = F.pmod(F.monotonically_increasing_id() if salt is None else salt, F.coalesce(F.col("_slices"), F.lit(1)))
+    dealt = left.join(hot, key, "left").withColumn("_slice", own).drop("_slices")
+    return dealt.join(right.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))), [key, "_slice"]).drop("_slice")
 
 
 def held_out(doc_id) -> "F.Column":

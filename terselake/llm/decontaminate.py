@@ -15,7 +15,7 @@ shingles, by their counts over all documents. Then:
 What a pass emits is held down by a bitmap of the wanted shingles' hashes: at most ``MAX_BITS`` bits
 are broadcast, whatever the size of the benchmark; a fuller bitmap only lets more rows through to the
 join, which is exact. Equal texts are matched once in a task, and shingles, windows and texts that
-occur very often are salted or joined where their rows lie.
+occur very often are dealt into slices.
 
 Edge cases: a null or empty text has no words and is clean; a null item_id or an item without
 words takes no part; repeated items count once; repeated documents get equal rows; an
@@ -40,7 +40,7 @@ SHINGLE = 3
 #: Bits of a bitmap: about this many for each value, within bounds.
 BITS_EACH, MIN_BITS, MAX_BITS = 64, 1 << 16, 1 << 28
 #: Rows of a key beyond which it is hot, at the least; and how many hot keys there may be at the most.
-HOT_ROWS, HOT_KEYS = 50_000, 1000
+HOT_ROWS, HOT_KEYS = 256, 1000
 #: Texts read at once, in bytes; a longer text is read in pieces of that size.
 _PIECE = 1 << 20
 #: Digests of texts that a task remembers.
@@ -251,7 +251,7 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     tokens = distinct.select("key", F.posexplode("shingles").alias("offset", "h"))
     listed = tokens.groupBy("h").agg(F.count("*").alias("m")).join(counts, "h")  # of the counted ones, those that are no shingle of the benchmark go here
     m = distinct.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).head()[0]
-    known = common.spread_join(tokens, listed, "h", "m", _limit(m))
+    known = common.spread_join(tokens, listed, "h", "m", _limit(m), F.xxhash64("key", "offset"))
     rarest = known.groupBy("key").agg(F.min(F.struct("n", "offset", "h")).alias("r"), F.count("*").alias("k"))
     # a window with a shingle that occurs nowhere has fewer known ones than it has shingles
     return distinct.join(rarest, "key").where(F.col("k") == F.size("shingles")).select("r.h", "r.n", "r.offset", "size", "words", "key")
@@ -308,11 +308,10 @@ def _places(narrow: DataFrame, wanted: Bitmap, sizes: list[int], window: int) ->
 
 
 def _salted(places: DataFrame, rare: DataFrame) -> DataFrame:
-    """Places joined with the windows of their shingle; a shingle of many places is dealt over several tasks."""
+    """Places joined with the windows of their shingle; a shingle of many places is dealt into slices."""
     total = rare.select("h", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    limit = _limit(total)
-    slices = F.ceil(F.col("n") / limit)
-    hot = rare.where(F.col("n") > limit).select("h", slices.alias("slices")).distinct()  # less than total / limit rows
+    slices = F.ceil(F.col("n") / _limit(total))
+    hot = rare.where(slices > 1).select("h", slices.alias("slices")).distinct()  # less than total / limit rows
     own = F.pmod(F.xxhash64("text", "place"), F.coalesce(F.col("slices"), F.lit(1)))
     left = places.join(F.broadcast(hot), "h", "left").withColumn("slice", own).drop("slices")
     right = rare.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
@@ -352,7 +351,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str | Non
     held = hits.select("text", "key").distinct()
     used = held.groupBy("key").agg(F.count("*").alias("n")).join(owners, "key")
     total = held.count()
-    items = common.spread_join(held, used, "key", "n", _limit(total)).select("text", F.explode("items").alias("item")).groupBy("text").agg(F.collect_set("item").alias("items"))
+    items = common.spread_join(held, used, "key", "n", _limit(total), F.xxhash64("text")).select("text", F.explode("items").alias("item")).groupBy("text").agg(F.collect_set("item").alias("items"))
     documents = found.where("h is null").select("doc_id", "text", "n_words", "maybe")
     copies = documents.where("maybe").groupBy("text").agg(F.count("*").alias("copies"))
     hit = spans.select("text", covered(F.col("spans")).alias("n_hit")).join(items, "text")

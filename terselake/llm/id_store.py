@@ -22,7 +22,7 @@ missing chunk.
 
 Scale: ranges are sampled by Spark, over (doc_id, row), so a repeated id is split like any other; rows
 stream through a task, whatever its range holds; the driver sees one sum for each range; chunks that
-very many documents share are joined where their rows lie.
+very many documents share are dealt into slices.
 
 Edge cases: null or empty text is the end id alone; a null doc_id sorts first; repeated rows are
 documents of their own, in a stable order, whose chunks are stored once; an empty table gives
@@ -219,7 +219,7 @@ _MANIFEST = "shard long, first_start long, n_docs long, n_tokens long, root bina
 #: A shard's number is its range's, shifted by so many bits, and its place in the range.
 _RANGE_BITS = 24
 #: Rows of a digest beyond which it is hot, at the least; and how many may be at the most.
-_HOT_ROWS, _HOT_DIGESTS = 50_000, 1000
+_HOT_ROWS, _HOT_DIGESTS = 256, 1000
 #: Rows and payload bytes given back at once.
 _ROWS_AT_ONCE, _BYTES_AT_ONCE = 2000, 16 << 20
 
@@ -277,7 +277,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_t
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "row", "pos"))
     repeated_path = common.shared_dir(spark, "repeated")
     repeated = common.written(places.groupBy("digest").agg(F.count("*").alias("n"), first.alias("f")).where("n > 1").select("digest", "n", F.col("f.row").alias("own_row"), F.col("f.pos").alias("own_pos")), repeated_path)
-    marks = common.spread_join(places, repeated, "digest", "n", max(_HOT_ROWS, chunks // _HOT_DIGESTS))
+    marks = common.spread_join(places, repeated, "digest", "n", max(_HOT_ROWS, chunks // _HOT_DIGESTS), F.xxhash64("row", "pos"))
     marks_path = common.shared_dir(spark, "marks")
     marks = common.written(marks.select("doc_id", "row", F.lit(0).alias("kind"), "pos", ((F.col("row") == F.col("own_row")) & (F.col("pos") == F.col("own_pos"))).alias("owned")), marks_path)
     # a document's marks come just before it in its range
@@ -424,7 +424,7 @@ def _read(spark: SparkSession, store: Store, result, field: str, kind: pa.DataTy
     counts = wanted.groupBy("digest").agg(F.count("*").alias("n"))
     given = common.map_batches(givers, give, "digest binary, part binary").join(counts, "digest")
     n = rows.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).head()[0]
-    parts = common.spread_join(wanted, given, "digest", "n", max(_HOT_ROWS, n // _HOT_DIGESTS)).groupBy("row").agg(F.collect_list(F.struct("pos", "part")).alias("fetched"))
+    parts = common.spread_join(wanted, given, "digest", "n", max(_HOT_ROWS, n // _HOT_DIGESTS), F.xxhash64("row", "pos")).groupBy("row").agg(F.collect_list(F.struct("pos", "part")).alias("fetched"))
     lent = common.map_batches(rows.where(lacks).drop("shared").join(parts, "row", "left"), decode, schema)
     starts = spark.read.schema(_MANIFEST).parquet(store.manifest).select("shard", "first_start")
     every = own.unionByName(lent).join(starts, "shard")

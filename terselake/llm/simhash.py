@@ -16,8 +16,8 @@ forest, at most one edge for each fingerprint. A group larger than an average pa
 into slices, and each pair of slices is a task of its own.
 
 Components: large-star / small-star contraction of the forests' edges, each round written to the
-shared checkpoint folder. Hubs, giant components and fingerprints of many rows are joined where their
-rows lie (``common.spread_join``), so no task gets all rows of one key.
+shared checkpoint folder. Hubs, giant components and fingerprints of many rows are dealt into
+slices (``common.spread_join``), so no task gets all rows of one key.
 
 Edge cases: null text counts as empty; a null doc_id is no candidate for component_id unless all
 members lack an id; repeated rows share a fingerprint; an empty table gives no rows.
@@ -42,7 +42,7 @@ BITS, MAX_DIFF, WORDS = 64, 4, 4
 #: Average rows of a group beyond which the bits are cut into more blocks.
 GROUP = 4096
 #: Groups up to this size are never split.
-LEAST_SPLIT = 1024
+LEAST_SPLIT = 512
 #: Node pairs held at once by a traversal.
 _FRONTIER = 2_000_000
 
@@ -277,10 +277,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every neighbour above u goes to the least of u and its neighbours
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = common.spread_join(both.where("b > a"), least, "a", "n", limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = common.spread_join(both.where("b > a"), least, "a", "n", limit, F.xxhash64("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: u and its neighbours below go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = common.spread_join(large, low, "a", "n", limit).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = common.spread_join(large, low, "a", "n", limit, F.xxhash64("b")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         last, path = path, common.shared_dir(spark, "edges")
         now = common.written(small, path)
@@ -311,7 +311,7 @@ def classes(printed: DataFrame, place: list[str] | None = None) -> DataFrame:
     linked = rooted.where("root is not null")
     least = linked.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("k"), F.count("*").alias("members"))
     size = rooted.count()
-    together = common.spread_join(linked.select("fp", "n", "root"), least, "root", "members", max(LEAST_SPLIT, size // _parts(printed.sparkSession, size)))
+    together = common.spread_join(linked.select("fp", "n", "root"), least, "root", "members", max(LEAST_SPLIT, size // _parts(printed.sparkSession, size)), F.xxhash64("fp"))
     found = rooted.where("root is null").select("fp", "n", "first", F.col("fp").alias("keeper_fp")).unionByName(together.select("fp", "n", F.col("k.first").alias("first"), F.col("k.fp").alias("keeper_fp")))
     return found.select("fp", "n", F.col("first.id").alias("component_id"), "keeper_fp", F.col("first").alias("keeper"))
 
