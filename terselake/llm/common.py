@@ -70,6 +70,11 @@ def kept_in_worker(key, make: Callable):
     return _kept[key]
 
 
+def forget() -> None:
+    """Drop what this worker keeps, before work that needs none of it."""
+    _kept.clear()
+
+
 class BoundedMemo(dict):
     """A dict that computes missing values and stays bounded.
 

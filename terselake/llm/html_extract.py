@@ -486,6 +486,10 @@ def generated_page(r: random.Random) -> str:
     syllables = ["ka", "lo", "mi", "ter", "on", "en", "sa", "ri", "du", "ves", "an", "el", "ion", "pre", "st", "qu", "be", "ching", "ou", "é", "ü", "ña"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
 
+    def marks() -> str:
+        """Mostly nothing, else a run of one mark after every word."""
+        return "" if r.random() < 0.57 else r.choice(["!", "?", "%", "&amp;", "#", "*", "~", "+", "=", "$", "@", "^", "|", ";"]) * r.randint(1, 3)
+
     def sentence(low: int = 3, high: int = 18) -> str:
         words = [word() for _ in range(r.randint(low, high))]
         if r.random() < 0.1:
@@ -493,11 +497,11 @@ def generated_page(r: random.Random) -> str:
             words[k] = f'<a href="/{words[k]}">{words[k]}</a>'
         if r.random() < 0.08:
             words[0] = f"<b>{words[0]}</b>"
-        noise = r.choice(["", "", "", "", "!!", "%%%", "&amp;&amp;"])
+        noise = marks()
         return " ".join(w + noise for w in words).capitalize() + "."
 
     text = lambda low, high: " ".join(sentence() for _ in range(r.randint(low, high)))
-    label = lambda: " ".join(word() for _ in range(r.choice([1, 1, 1, 2, 4]))) + r.choice(["", "", "", ",", ".", "!!", "%%%"])
+    label = lambda: " ".join(word() for _ in range(r.choice([1, 1, 1, 2, 4]))) + r.choice(["", "", "", ",", ".", marks()])
     links = lambda n: "".join(f'<li><a href="/{(w := label())}">{w}</a></li>' for _ in range(n))
 
     def marked(tag: str, names: list[str], inside: str, label: str = "") -> str:
@@ -525,6 +529,7 @@ def generated_page(r: random.Random) -> str:
         tag, attr = r.choice([("section", 'class="comments"'), ("div", 'id="comments"'), ("ol", 'class="commentlist"'), ("div", 'class="reader-comments"')])
         return f"<{tag} {attr}{drop}>" + "".join(comment() for _ in range(r.randint(1, 6))) + f"</{tag}>"
 
+    bare_link = lambda: f'<a href="#{word()}">{label()}</a>' if r.random() < 0.5 else f'<p><a href="/{word()}">{label()}</a></p>'  # noqa: E731  as those that skip to the content or back to the top
     header = lambda: either("header", ["header", "masthead", "site-header", "branding"], f"<h1>{word()}</h1>" * r.randint(0, 1) + f"<p>{sentence(2, 7)}</p>", drop)
     footer = lambda: either("footer", ["footer", "site-footer", "copyright", "legal"], r.choice([f"&copy; {word()} &middot; {sentence()}", f"<p>{text(1, 3)}</p>", f"<ul>{links(4)}</ul>"]), drop)
 
@@ -567,10 +572,17 @@ def generated_page(r: random.Random) -> str:
         return f'<html><body data-y="1">{r.choice([inside, text(1, 6)])}</body></html>'
     before = [f() for f in (header, nav, advert, notice, form) if r.random() < 0.45]
     after = [f() for f in (comments, advert, sidebar, form, notice, nav) if r.random() < 0.3]
+    before += [bare_link()] if r.random() < 0.15 else []
+    after += [bare_link()] if r.random() < 0.15 else []
     r.shuffle(before)
     r.shuffle(after)
+    if r.random() < 0.3:
+        main = f'<div {r.choice(["class", "id"])}="{r.choice(["site-content", "columns", "inner", "row", "c"])}">{main}</div>'
     page = "".join(before) + main + "".join(after) + (footer() if r.random() < 0.8 else "")
-    return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{page}</body></html>"
+    if r.random() < 0.3:
+        page = f'<div {r.choice(["class", "id"])}="{r.choice(["page", "site", "wrapper", "layout", "outer"])}">{page}</div>'
+    names = f' class="{r.choice(["home blog", "single single-post", "page", "main", "article-page", "default", "dark"])}"' if r.random() < 0.4 else ""
+    return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body{names}>{page}</body></html>"
 
 
 @cache

@@ -287,6 +287,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_t
     width, names = store.width, _names(_STORED)
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()  # the encoder's tables
         shard, start = TaskContext.get().partitionId() << _RANGE_BITS, 0
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64()]
         out: list[list] = [[] for _ in names]

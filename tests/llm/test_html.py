@@ -79,3 +79,30 @@ def test_a_page_does_not_depend_on_its_batch():
     together = numbers(pages)
     assert all((numbers([p])[0] == x).all() for p, x in zip(pages, together, strict=True))
     assert html_extract.texts(model, pages) == [html_extract.texts(model, [p])[0] for p in pages]
+
+
+# Pages written by hand, in layouts that the generator does not make; %s is the place of some main text.
+LAYOUTS = {
+    "blog": ("""<!doctype html><html lang=en><head><meta charset=utf-8><title>Notes</title><link rel=stylesheet href=a.css></head><body class="home blog">
+<a class="skip-link" href="#c">Skip to content</a><div id="page"><div id="masthead" class="site-header"><p class="site-title"><a href="/">My Notes</a></p><ul class="menu"><li><a href="/a">About</a></li><li><a href="/b">Books</a></li></ul></div>
+<div id="c" class="site-content"><div class="post-42 post type-post"><h1 class="entry-title">On sharpening knives</h1><div class="entry-content"><p>Most people press far too hard. A light hand, and a stone that stays wet, will do more than force.</p>
+<p>Begin with the coarse side, and count the strokes. Turn the blade, and count again.</p><blockquote><p>A dull knife is the dangerous one.</p></blockquote><ul><li>Keep the angle low and steady.</li><li>Rinse the stone when you are done.</li></ul></div></div>
+<div id="comments" class="comments-area"><h2>2 thoughts</h2><ol class="comment-list"><li class="comment"><p>Thanks, this helped me a lot.</p></li><li class="comment"><p>I always used the other side first, to be honest.</p></li></ol></div></div>
+<div id="secondary" class="widget-area sidebar"><h3>Recent posts</h3><ul><li><a href="/1">Whetstones</a></li><li><a href="/2">Steel</a></li></ul></div><div class="site-footer"><p>&copy; My Notes, all rights reserved.</p></div></div></body></html>""",
+             ["On sharpening knives", "Most people press far too hard. A light hand, and a stone that stays wet, will do more than force.", "Begin with the coarse side, and count the strokes. Turn the blade, and count again.", "A dull knife is the dangerous one.", "Keep the angle low and steady.", "Rinse the stone when you are done."]),
+    "news": ("""<html><body><div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div><header role=banner><nav><a href=/>Home</a> <a href=/w>World</a> <a href=/s>Sport</a></nav></header>
+<main><article><header><h1>Bridge reopens after nine months</h1></header><p>The old bridge over the river opened to traffic on Monday, nine months after the flood that closed it.</p><div class="advert"><a href=/buy>Save half on your first box</a></div>
+<p>Engineers replaced two of its five piers. &ldquo;It will outlast us&rdquo;, the mayor said.</p><figure><img src=b.jpg><figcaption>The bridge on Monday morning.</figcaption></figure><p>Lorries of over 20 tonnes must still use the motorway.</p></article>
+<aside class="related"><h2>Read more</h2><ul><li><a href=/x>Flood damage: the full map</a></li></ul></aside></main><section id=newsletter class="newsletter-signup"><p>Get our morning letter.</p><form><input name=e><p>Your address</p></form></section><footer><p>Contact us. Terms. Privacy.</p></footer></body></html>""",
+             ["Bridge reopens after nine months", "The old bridge over the river opened to traffic on Monday, nine months after the flood that closed it.", "Engineers replaced two of its five piers. “It will outlast us”, the mayor said.", "The bridge on Monday morning.", "Lorries of over 20 tonnes must still use the motorway."]),
+    "manual": ("""<html><body><div class=topbar><a href=/>Docs</a> <a href=/api>API</a></div><div class=layout><nav class=toc><ul><li><a href=#1>Install</a></li><li><a href=#2>Use</a></li></ul></nav>
+<div role=main class="document body"><h1>Using the pump</h1><p>Fill the tank before the first start. The pump must never run dry.</p><h2>Settings</h2><table><tr><th>Level</th><th>Flow</th></tr><tr><td>Low</td><td>3 litres</td></tr></table><pre>pump --level low
+pump --stop</pre><p>If it stops by itself, let it cool for ten minutes and look at the filter, which may be full.</p></div></div><div class=footer>Page made on Tuesday.</div></body></html>""",
+               ["Using the pump", "Fill the tank before the first start. The pump must never run dry.", "Settings", "Level", "Flow", "Low", "3 litres", "pump --level low pump --stop", "If it stops by itself, let it cool for ten minutes and look at the filter, which may be full."]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_pages_written_by_hand(name):
+    source, want = LAYOUTS[name]
+    assert main_text(source).split("\n") == want
