@@ -36,7 +36,7 @@ from terselake.llm import common
 from terselake.llm.word_table import WordTable
 
 #: Bounds of a worker's stores.
-_STATES, _PAIRS, _PIECES = 300_000, 200_000, 150_000
+_STATES, _PAIRS, _PIECES = 120_000, 150_000, 100_000
 #: Bytes read between two looks at the size of the state store, and the longest piece that is remembered.
 _BETWEEN, _LONGEST = 4096, 256
 _NEVER = 1 << 60
@@ -79,7 +79,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[tuple[int, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         #: Of each state: its last settled token (-1 at the start), the bytes since then, the last token at each place
         #: in them (-2 where no live history ends), and the places where a token may be under way, with their trie nodes.
         self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = []
@@ -128,7 +128,7 @@ class Transducer:
                 limit, b = b + 1, of_b[0]
 
     def _state(self, settled: int, pending: bytes, last: tuple[int, ...], places: tuple[int, ...], nodes: tuple[int, ...]) -> int:
-        key = (settled, pending)
+        key = _IDS.pack(settled & 0xFFFFFFFF) + pending
         if (k := self.number.get(key)) is None:
             k = self.number[key] = len(self.states)
             self.states.append((settled, pending, last, places, nodes))

@@ -42,7 +42,7 @@ BITS_EACH, MIN_BITS, MAX_BITS = 64, 1 << 16, 1 << 28
 #: Rows of a key beyond which it is hot, at the least; and how many hot keys there may be at the most.
 HOT_ROWS, HOT_KEYS = 256, 1000
 #: Texts read at once, in bytes; a longer text is read in pieces of that size.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 #: Digests of texts that a task remembers.
 _SEEN = 200_000
 #: ASCII upper case to lower case; ASCII that is no letter or digit to a space.
