@@ -77,9 +77,16 @@ def cache_totals(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.sum("pre_cache_hits").cast("long").alias("hits"), F.sum("pre_cache_misses").cast("long").alias("misses"))
 
 
-def report(entries: DataFrame) -> DataFrame:
-    """All sections as rows of ``section, line`` (JSON), ready for a JSON-lines sink."""
+def report(entries: DataFrame, cache: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """All sections as rows of ``section, line`` (JSON), ready for a JSON-lines sink.
+
+    cache: cached calls, with the columns of entries; sessions: ``pre_cache_hits, pre_cache_misses``.
+    """
     sections = {"total": total(entries), "tools": by_tool(entries), "strategies": by_strategy(entries), "sessions": by_session(entries), "top": top_outputs(entries), "timeline": timeline(entries)}
+    if cache is not None:
+        sections["cache"] = top_outputs(cache)
+    if sessions is not None:
+        sections["pre_cache"] = cache_totals(sessions)
     out = None
     for name, df in sections.items():
         rows = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "content"])).alias("line"))
@@ -87,9 +94,23 @@ def report(entries: DataFrame) -> DataFrame:
     return out
 
 
-def report_lines(entries: DataFrame) -> DataFrame:
-    """The fixed-width text view of the totals and buckets: ``section, line``."""
-    def rows(name: str, df: DataFrame) -> DataFrame:
-        line = F.concat(F.rpad("name", 24, " "), F.lpad(F.col("entries").cast("string"), 8, " "), F.lpad(human(F.col("original")), 12, " "), F.lpad(human(F.col("compressed")), 12, " "), F.lpad(F.format_string("%.1f%%", "saved_pct"), 9, " "))
+def report_lines(entries: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """The fixed-width text view: ``section, line`` of the totals and buckets, the top outputs and cached calls, and the latest of the timeline."""
+    cell = lambda name, width: F.rpad(F.col(name).cast("string"), width, " ")
+    size = lambda column: F.lpad(human(column), 12, " ")
+
+    def buckets(name: str, df: DataFrame) -> DataFrame:
+        line = F.concat(cell("name", 24), F.lpad(F.col("entries").cast("string"), 8, " "), size(F.col("original")), size(F.col("compressed")), F.lpad(F.format_string("%.1f%%", "saved_pct"), 9, " "))
         return df.select(F.lit(name).alias("section"), line.alias("line"))
-    return rows("tools", by_tool(entries)).unionByName(rows("strategies", by_strategy(entries))).unionByName(rows("total", total(entries)))
+
+    def outputs(name: str, df: DataFrame, value) -> DataFrame:
+        return df.select(F.lit(name).alias("section"), F.concat(cell("tool_name", 24), cell("hash", 34), size(value), F.lpad(F.col("turn").cast("string"), 6, " ")).alias("line"))
+
+    placed = lambda df: df if "turn" in df.columns else df.withColumn("turn", F.lit(0))
+    latest = timeline_latest(entries).withColumn("saved", F.col("original_size") - F.col("compressed_size"))
+    out = buckets("tools", by_tool(entries)).unionByName(buckets("strategies", by_strategy(entries))).unionByName(outputs("top", top_outputs(placed(entries)), F.col("saved")))
+    if cache is not None:
+        out = out.unionByName(outputs("cache", top_outputs(placed(cache)), F.col("original_size")))
+    stored = F.rpad(F.date_format("stored_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), 26, " ")
+    out = out.unionByName(latest.select(F.lit("timeline").alias("section"), F.concat(cell("tool_name", 24), cell("hash", 34), stored, size(F.col("saved"))).alias("line")))
+    return out.unionByName(buckets("total", total(entries)))

@@ -92,6 +92,15 @@ TERMS = ["the", "idiot", "que", "der", "moron"]
 DOC_LINES = f"SELECT doc_id, pos - 1 AS pos, l[pos] AS line, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT doc_id, {lines('text')} AS l FROM documents))"
 TRIM_TERMS = "['worthless', 'idiot', 'scum']"
 
+HOOK_SESSION = "CASE WHEN user_id % 10 = 0 THEN 'default' ELSE 'u' || user_id END"
+CALL_KEY = """substr(sha256('{"input":{"id":' || event_id || '},"tool":"' || event_type || '"}'), 1, 32)"""
+
+
+def number(n: str) -> str:
+    """With one thousands separator."""
+    return f"CASE WHEN {n} >= 1000 THEN ({n} // 1000) || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END"
+
+
 ORACLE_SQL: dict[str, str] = {
     "content_hash": f"SELECT doc_id, {hashed('text')} AS hash, CAST(strlen(text) AS INTEGER) AS bytes FROM documents",
     "token_estimate": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
@@ -193,4 +202,34 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT *, max(CASE WHEN regexp_matches(line, '^[+-]') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS shown FROM r),
         g AS (SELECT *, CASE WHEN shown THEN pos - coalesce(max(CASE WHEN shown THEN pos END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 END AS skipped FROM s)
         SELECT id, count(*) FILTER (shown) AS shown, count(*) FILTER (skipped > 0) AS gaps, CAST(sum(skipped) AS BIGINT) AS skipped FROM g GROUP BY id""",
+    "hook_events": f"""SELECT event_id AS seq, {HOOK_SESSION} AS session_id, event_type AS tool_name, CAST(event_id AS VARCHAR) AS id, {CALL_KEY} AS cache_key,
+        CASE event_id % 6 WHEN 0 THEN 'out ' || event_id WHEN 1 THEN '' WHEN 2 THEN 'a ' || event_id || chr(10) || chr(10) || 'b' WHEN 3 THEN 'c ' || event_id ELSE 'o ' || event_id || chr(10) || chr(10) || 'p' END AS content,
+        event_id % 6 IN (1, 3) AS is_error_response FROM events WHERE event_id % 6 <> 5""",
+    "hook_calls": f"SELECT event_id AS seq, {HOOK_SESSION} AS session_id, event_type AS tool_name, {CALL_KEY} AS cache_key FROM events WHERE event_id % 6 <> 5",
+    "hook_emissions": """SELECT event_id AS seq, '{"hookSpecificOutput": {"hookEventName": "PostToolUse", ' || CASE event_id % 6
+        WHEN 0 THEN '"updatedToolOutput": {"stdout": "R ' || event_id || '", "stderr": ""}' WHEN 1 THEN '"updatedToolOutput": {"stdout": "R ' || event_id || '", "stderr": "bad ' || event_id || '"}'
+        WHEN 2 THEN '"updatedToolOutput": {"content": [{"type": "text", "text": "R ' || event_id || '"}, {"type": "image", "source": "x"}]}' WHEN 3 THEN '"updatedToolOutput": {"isError": true, "content": "R ' || event_id || '"}'
+        ELSE '"additionalContext": "R ' || event_id || '"' END || '}}' AS emitted FROM events WHERE event_id % 6 <> 5""",
+    "stop_events": "SELECT event_id AS seq, 'u' || user_id AS session_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 0.0::DOUBLE ELSE event_id % 100 + 0.5::DOUBLE END AS used_pct FROM events",
+    "replay_log_lines": """SELECT 'log' || user_id AS file, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS line, CASE WHEN event_id % 5 <> 3 THEN event_type END AS tool_name, CASE WHEN event_id % 5 <> 3 THEN 'x ' || event_id END AS q,
+        CASE WHEN event_id % 5 <> 3 THEN 'c ' || event_id ELSE '' END AS content, event_id % 5 = 3 AS malformed FROM events WHERE event_id % 5 > 1""",
+    "call_flags": """WITH c AS (SELECT conv_id, turn AS seq, role, coalesce(text, '') AS t, lower(coalesce(text, '')) AS l, lower(coalesce(substr(text, 1, 30), '')) AS a FROM conversations),
+        f AS (SELECT *, """ + " OR ".join(f"(contains(l, '{k}') AND strlen(l[1:strpos(l, '{k}') - 1]) + {len(k)} <= 200)" for k in ("idiot", "of the")) + """ AS e FROM c)
+        SELECT conv_id, seq, e AS is_error, NOT e AND t <> '' AS stores, NOT (contains(lower(role), 'assist') OR contains(a, 'assist') OR contains(lower(role), 'the and') OR contains(a, 'the and')) AS keeps_raw FROM f""",
+    "headers": f"SELECT doc_id, '[compressed: ' || {number(tokens('text'))} || ' → ' || {number(tokens('substr(text, 1, 200)'))} || ' tokens | structure+relevance]' || {NL} AS header FROM documents",
+    "query_terms": f"SELECT conv_id, turn, CAST(len(w) AS INTEGER) AS n, array_to_string(w, ' ') AS terms, CAST(len(list_distinct(list_transform(w, lambda x: lower(x)))) AS INTEGER) AS distinct_terms FROM (SELECT conv_id, turn, list_concat({words('text')}, ['<nil>']) AS w FROM conversations)",
+    "session_store": f"""WITH e AS (SELECT session_id, count(*) AS n, count(*) FILTER (CAST(hash AS BIGINT) % 5 = 0) AS c FROM ({ENTRIES}) GROUP BY ALL),
+        s AS (SELECT CAST(user_id % 60 AS VARCHAR) AS session_id, max(event_id) AS m, count(*) AS n FROM events GROUP BY ALL)
+        SELECT coalesce(s.session_id, e.session_id) AS session_id, CAST(m % 40 AS INTEGER) AS turn, CAST(coalesce(e.n, 0) AS INTEGER) AS entries, CAST(coalesce(c, 0) AS INTEGER) AS cached, CAST(s.n AS INTEGER) AS hits, CAST(s.n % 7 AS INTEGER) AS misses,
+        m % 100 / 4.0::DOUBLE AS context_used_pct, m % 2 = 0 AS compact_requested FROM s LEFT JOIN e ON e.session_id = s.session_id""",
+    "session_store_entries": f"SELECT session_id, hash AS key, CAST(CAST(hash AS BIGINT) % 30 AS INTEGER) AS turn, tool_name, original_size, compressed_size, array_to_string(strategies, '+') AS strategies, stored_at, content FROM ({ENTRIES})",
+    "top_cache": f"SELECT session_id, 'k' || hash AS key, original_size - compressed_size AS saved FROM ({ENTRIES}) WHERE CAST(hash AS BIGINT) % 5 = 0 ORDER BY saved DESC, session_id, hash LIMIT 10",
+    "pre_cache_totals": "SELECT CAST(sum(n) AS BIGINT) AS hits, CAST(sum(n % 7) AS BIGINT) AS misses FROM (SELECT user_id % 60 AS g, count(*) AS n FROM events GROUP BY ALL)",
+    "session_stream": f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'stop' WHEN 1 THEN 'pre' ELSE 'post' END AS kind, event_type AS tool, event_type || '/' || (event_id % 7) AS key,
+            CASE WHEN event_id % 4 > 1 THEN repeat(event_type || (event_id % 5) || ' ', 40) END AS content FROM events),
+        t AS (SELECT *, CAST(sum(CASE WHEN kind = 'stop' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS INTEGER) AS turn, coalesce(sum(CASE WHEN kind = 'post' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS hit FROM e),
+        p AS (SELECT *, lag(turn) OVER w AS p_turn, lag(tool) OVER w AS p_tool FROM t WINDOW w AS (PARTITION BY session_id, content ORDER BY seq)),
+        l AS (SELECT *, CASE WHEN kind = 'post' AND p_turn IS NOT NULL THEN '[unchanged — seen ' || (turn - p_turn) || ' turn(s) ago by ' || p_tool || ']' END AS label FROM p)
+        SELECT session_id, seq, kind, turn, CASE WHEN kind = 'post' THEN CASE WHEN label IS NULL THEN content ELSE '[compressed: ' || {tokens('content')} || ' → ' || {tokens('label')} || ' tokens | dedup]' || {NL} || label END END AS output,
+        CASE kind WHEN 'stop' THEN false WHEN 'pre' THEN hit ELSE label IS NOT NULL AND NOT hit END AS emitted, CASE WHEN kind = 'post' THEN label IS NOT NULL END AS modified, CASE WHEN kind <> 'stop' THEN hit END AS cache_hit FROM l""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terselake.functions import payload, tokens
-from terselake.functions.text import human_tokens
+from terselake.functions.text import human_bytes, human_tokens
 from terselake.operators.analytics import savings_pct
 from terselake.plans.compress import compress
 from terselake.plans.config import Config
@@ -33,6 +33,16 @@ def replay_totals(parsed: DataFrame, replayed: DataFrame) -> DataFrame:
     return joined.withColumns({"saved": F.col("orig_size") - F.col("final_size"), "saved_pct": savings_pct(F.col("orig_size"), F.col("final_size"))})
 
 
+def replay_lines(replayed: DataFrame, totals: DataFrame) -> DataFrame:
+    """The text report: ``file, line, text``, a line for each record and, after them, the totals."""
+    size = lambda name: F.lpad(human_bytes(F.col(name)), 10, " ")
+    sizes = F.concat(size("orig_size"), size("final_size"), size("saved"), F.lpad(F.format_string("%.1f%%", "saved_pct"), 8, " "))
+    label = F.when(F.size("strategies") > 0, F.array_join("strategies", "+")).otherwise(F.lit("none"))
+    rows = replayed.withColumn("saved_pct", savings_pct(F.col("orig_size"), F.col("final_size"))).select("file", "line", F.concat(F.lpad(F.col("line").cast("string"), 6, " "), F.lit("  "), F.rpad("tool_name", 16, " "), sizes, F.lit("  "), label).alias("text"))
+    ends = totals.select("file", F.lit((1 << 63) - 1).alias("line"), F.concat(F.lit(" TOTAL  "), F.rpad(F.concat(F.col("entries").cast("string"), F.lit(" ("), F.col("malformed").cast("string"), F.lit(" bad)")), 16, " "), sizes).alias("text"))
+    return rows.unionByName(ends).orderBy("file", "line")
+
+
 def replay_log(spark: SparkSession, path: str, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     parsed = read_replay_log(spark, path)
     done = replay(parsed, config)

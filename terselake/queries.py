@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from terselake.functions import text as X
 from terselake.functions import tokens
 from terselake.operators import analytics, dedup, relevance, structure
-from terselake.plans.compress import compress, entries
+from terselake.plans.compress import compress, entries, header, with_flags
 from terselake.plans.config import Config
 from terselake.plans.replay import pre_cache, replay, replay_totals, scenario_savings
+from terselake.plans.scenarios import scenario_calls
+from terselake.sources import sessions
+from terselake.sources.hooks import emissions, parse_events
+from terselake.sources.logs import parse_lines
+from terselake.sources.shared import shared_dir
 
 # ------------------------------------------------------------------ inputs
 
@@ -340,6 +345,135 @@ def scenario_report(spark, sf_dir):
     return out.select("session_id", "tokens_in", "tokens_out", "strategy", "saved")
 
 
+# ------------------------------------------------------------------ events, logs, stored sessions, the stream
+
+
+def raw_posts(spark, sf_dir) -> DataFrame:
+    """Raw post events of every response shape: ``seq, value``; one in six is malformed."""
+    e = table(spark, sf_dir, "events")
+    k, n = F.col("event_id"), F.col("event_id").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    response = (
+        F.when(k % 6 == 0, say('{"stdout":"out ', n, '","stderr":""}')).when(k % 6 == 1, say('{"stdout":"","stderr":"bad ', n, '"}'))
+        .when(k % 6 == 2, say('{"content":[{"type":"text","text":"a ', n, '"},{"type":"image","source":"x"},{"type":"text","text":"b"}]}'))
+        .when(k % 6 == 3, say('{"isError":true,"content":"c ', n, '"}')).otherwise(say('{"result":{"output":"o ', n, '","note":["p",7]}}')))
+    session = F.when(F.col("user_id") % 10 == 0, F.lit("")).otherwise(say("u", F.col("user_id").cast("string")))
+    value = say('{"session_id":"', session, '","tool_name":"', F.col("event_type"), '","tool_input":{"id":', n, '},"tool_response":', response, "}")
+    return e.select(k.alias("seq"), F.when(k % 6 == 5, say("oops ", n)).otherwise(value).alias("value"))
+
+
+def hook_events(spark, sf_dir):
+    done = parse_events(raw_posts(spark, sf_dir), "post")
+    return done.select("seq", "session_id", "tool_name", F.element_at("tool_input", "id").alias("id"), "cache_key", "content", "is_error_response")
+
+
+def hook_calls(spark, sf_dir):
+    return parse_events(raw_posts(spark, sf_dir), "pre").select("seq", "session_id", "tool_name", "cache_key")
+
+
+def hook_emissions(spark, sf_dir):
+    parsed_events = parse_events(raw_posts(spark, sf_dir), "post").withColumn("output", F.concat(F.lit("R "), F.col("seq").cast("string")))
+    return emissions(parsed_events).select("seq", "emitted")
+
+
+def stop_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    window = F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 3 == 1, F.lit(',"context_window":{}')).otherwise(F.concat(F.lit(',"context_window":{"used_percentage":'), (F.col("event_id") % 100).cast("string"), F.lit(".5}")))
+    raw = e.select(F.col("event_id").alias("seq"), F.concat(F.lit('{"session_id":"u'), F.col("user_id").cast("string"), F.lit('"'), window, F.lit("}")).alias("value"))
+    return parse_events(raw, "stop").select("seq", "session_id", "used_pct")
+
+
+def replay_log_lines(spark, sf_dir):
+    """Lines of replay logs, a file for each user: comments, blanks, malformed records and good ones."""
+    e = table(spark, sf_dir, "events")
+    k, n = F.col("event_id"), F.col("event_id").cast("string")
+    good = F.concat(F.lit('{"tool_name":"'), F.col("event_type"), F.lit('","tool_input":{"q":"x '), n, F.lit('"},"content":"c '), n, F.lit('"}'))
+    value = F.when(k % 5 == 0, F.lit("# note")).when(k % 5 == 1, F.lit("  ")).when(k % 5 == 2, good).when(k % 5 == 3, F.concat(F.lit("{broken "), n)).otherwise(F.concat(F.lit("  "), good))
+    lines = e.select(F.concat(F.lit("log"), F.col("user_id").cast("string")).alias("file"), k.alias("pos"), value.alias("value"))
+    return parse_lines(lines).select("file", "line", "tool_name", F.element_at("tool_input", "q").alias("q"), "content", "malformed")
+
+
+def call_flags(spark, sf_dir):
+    """Error gate, storing and the denylist over conversations as calls."""
+    c = table(spark, sf_dir, "conversations")
+    calls = c.select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("tool_name"), F.create_map(F.lit("a"), F.substring("text", 1, 30)).alias("tool_input"), F.coalesce("text", F.lit("")).alias("content"))
+    done = with_flags(calls, Config(denylist=("assist", "the and"), error_keywords=("idiot", "of the")))
+    return done.select("conv_id", "seq", "is_error", "stores", "keeps_raw")
+
+
+def headers(spark, sf_dir):
+    head = header(Config(), F.col("text"), F.substring("text", 1, 200), F.array(F.lit("structure"), F.lit("relevance")))
+    return table(spark, sf_dir, "documents").select("doc_id", head.alias("header"))
+
+
+def query_terms(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", relevance.query_terms(F.create_map(F.lit("a"), F.col("text"), F.lit("b"), F.lit(None).cast("string"))).alias("t"))
+    return c.select("conv_id", "turn", F.size("t").alias("n"), F.array_join("t", " ").alias("terms"), F.size(relevance.normal_terms(F.col("t"))).alias("distinct_terms"))
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    """Sessions of derived entries, cached calls and counters, written and read back."""
+    made = derived_entries(spark, sf_dir).withColumn("turn", (F.col("hash").cast("long") % 30).cast("int"))
+    cache = made.where(F.col("hash").cast("long") % 5 == 0).withColumn("key", F.concat(F.lit("k"), F.col("hash")))
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 60).cast("string").alias("session_id"))
+    state = e.agg((F.max("event_id") % 40).cast("int").alias("turn"), F.count("*").cast("int").alias("pre_cache_hits"), (F.count("*") % 7).cast("int").alias("pre_cache_misses"), (F.max("event_id") % 100 / 4.0).alias("context_used_pct"), (F.max("event_id") % 2 == 0).alias("compact_requested"))
+    path = shared_dir(spark, "sessions")
+    sessions.write_sessions(sessions.as_sessions(made, cache, state), path)
+    return sessions.read_sessions(spark, path)
+
+
+def session_store(spark, sf_dir):
+    s = _stored(spark, sf_dir)
+    return s.select("session_id", "turn", F.size("entries").alias("entries"), F.size("tool_cache").alias("cached"), F.col("metrics.pre_cache_hits").alias("hits"), F.col("metrics.pre_cache_misses").alias("misses"), "context_used_pct", "compact_requested")
+
+
+def session_store_entries(spark, sf_dir):
+    e = sessions.entries_by_turn(sessions.session_entries(_stored(spark, sf_dir)))
+    return e.select("session_id", "key", "turn", "tool_name", "original_size", "compressed_size", F.array_join("strategies", "+").alias("strategies"), "stored_at", "content")
+
+
+def top_cache(spark, sf_dir):
+    return analytics.top_outputs(sessions.session_entries(_stored(spark, sf_dir), "tool_cache")).select("session_id", "key", "saved")
+
+
+def pre_cache_totals(spark, sf_dir):
+    return analytics.cache_totals(sessions.session_metrics(_stored(spark, sf_dir)))
+
+
+def stream_events(spark, sf_dir) -> DataFrame:
+    """Events of the three kinds, a session for each user: contents repeat, and no two of them are alike."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    kind = F.when(k % 4 == 0, F.lit("stop")).when(k % 4 == 1, F.lit("pre")).otherwise(F.lit("post"))
+    content = F.repeat(F.concat(F.col("event_type"), (k % 5).cast("string"), F.lit(" ")), F.lit(40))
+    return e.select(
+        F.col("user_id").cast("string").alias("session_id"), k.alias("seq"), kind.alias("kind"), F.col("event_type").alias("tool_name"), F.expr(NO_ARGS).alias("tool_input"),
+        F.concat(F.col("event_type"), F.lit("/"), (k % 7).cast("string")).alias("cache_key"), F.when(kind == "post", content).alias("content"), F.lit(False).alias("is_error_response"), F.when(kind == "stop", (k % 100).cast("double")).alias("used_pct"))
+
+
+def session_stream(spark, sf_dir):
+    """The live sessions over all events as a stream: written, read as a stream, answered, written, read back."""
+    from terselake.streaming import sessions as live
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    source, answers, progress = (shared_dir(spark, x) for x in ("stream-in", "stream-out", "stream-progress"))
+    stream_events(spark, sf_dir).write.parquet(source)
+    spark.conf.set(provider, live.STATE_STORE)
+    try:
+        done = live.session_answers(spark.readStream.schema(live.EVENTS).parquet(source), Config(compact_threshold=0.0))
+        query = done.writeStream.format("parquet").option("path", answers).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return spark.read.schema(live.ANSWERS).parquet(answers).select("session_id", "seq", "kind", "turn", "output", "emitted", "modified", "cache_hit")
+
+
+def published_scenarios(spark, sf_dir):
+    """The nine savings scenarios; they need no table."""
+    return scenario_savings(compress(scenario_calls(spark))).select("session_id", "tokens_in", "tokens_out", "strategy", "saved", F.round("saved_pct", 6).alias("saved_pct"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_hash": content_hash, "token_estimate": token_estimate, "word_tokens": word_tokens, "number_formats": number_formats, "error_gate": error_gate, "huge_line_filter": huge_line_filter,
     "event_names": event_names, "exact_dedup": exact_dedup, "dedup_savings": dedup_savings, "dedup_last_write": dedup_last_write, "near_candidates": near_candidates, "near_dedup": near_dedup,
@@ -365,4 +499,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_outputs": top_outputs, "timeline": timeline, "timeline_latest": timeline_latest, "prune_by_size": prune_by_size,
     "pre_cache_hits": pre_cache_hits, "pre_cache_lookup": pre_cache_lookup, "diff_frames": diff_frames,
     "compress_documents": compress_documents, "stored_entries": stored_entries, "replay_report": replay_report, "scenario_report": scenario_report,
+    "hook_events": hook_events, "hook_calls": hook_calls, "hook_emissions": hook_emissions, "stop_events": stop_events, "replay_log_lines": replay_log_lines, "call_flags": call_flags, "headers": headers,
+    "query_terms": query_terms, "session_store": session_store, "session_store_entries": session_store_entries, "top_cache": top_cache, "pre_cache_totals": pre_cache_totals, "session_stream": session_stream,
+    "published_scenarios": published_scenarios,
 }

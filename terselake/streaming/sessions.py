@@ -4,7 +4,8 @@ What depends on one event alone (error gate, shape collapse, trimming, header) i
 functions before the state is touched. The processor keeps, per session, the contents by hash, the
 cached outputs by call, the turn and the context use; it adds exact and near dedup, cache hits
 and the compaction nudge. State lies in the RocksDB store; a session's contents are bounded by
-``max_session_bytes`` and, with ``expire``, by time.
+``max_session_bytes`` and, with ``expire``, by time. Sizes lie apart from contents, so that only
+contents of a possible near match are read and aligned. A stream may start from stored sessions.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from terselake.functions.text import content_hash
 from terselake.operators.relevance import query_terms
 from terselake.plans.compress import after_dedup, with_flags
 from terselake.plans.config import Config
+from terselake.sources.sessions import state_rows
 from terselake.streaming import kernel
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -44,6 +46,7 @@ class SessionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.config.retention_days * 86_400_000 if self.expire and self.config.retention_days > 0 else None
         self.contents = handle.getMapState("contents", "hash string", "turn int, seq long, tool string, content string", ttl)
+        self.sizes = handle.getMapState("sizes", "hash string", "turn int, seq long, words int, bytes int", ttl)
         self.cache = handle.getMapState("cache", "key string", "output string", ttl)
         self.session = handle.getValueState("session", "turn int, used_pct double, nudged boolean, hits int, misses int, bytes long")
 
@@ -56,6 +59,18 @@ class SessionProcessor(StatefulProcessor):
         columns = [c.split()[0] for c in ANSWERS.split(", ")]
         yield pd.DataFrame([{**dict.fromkeys(columns), "session_id": key[0], **a} for a in answers], columns=columns)
 
+    def handleInitialState(self, key, rows: pd.DataFrame, timer_values) -> None:
+        """Rows of ``sources.sessions.state_rows``; a session's rows may come in several parts."""
+        self.turn, self.used, self.nudged, self.hits, self.misses, self.bytes = self.session.get() if self.session.exists() else (0, None, False, 0, 0, 0)
+        for r in rows.to_dict("records"):
+            if r["kind"] == "session":
+                self.turn, self.used, self.nudged, self.hits, self.misses = int(r["turn"]), float(r["used_pct"]) or None, bool(r["nudged"]), int(r["hits"]), int(r["misses"])
+            elif r["kind"] == "cache":
+                self.cache.updateValue((r["key"],), (r["content"],))
+            else:
+                self._keep(r["key"], int(r["turn"]), int(r["seq"]), r["tool_name"], r["content"])
+        self.session.update((self.turn, self.used, self.nudged, self.hits, self.misses, self.bytes))
+
     def stop(self, r: dict) -> dict | None:
         self.turn += 1
         if r["used_pct"] is not None and r["used_pct"] == r["used_pct"]:
@@ -109,40 +124,46 @@ class SessionProcessor(StatefulProcessor):
         return head + text, True, strategies
 
     def near(self, content: str) -> tuple | None:
-        """The entry of the highest ratio; lengths first, since the ratio can't exceed their bound."""
-        words, least = similarity.word_list(content), self.config.near_match
+        """The entry of the highest ratio; lengths first, then the words in common, since the ratio can't exceed their bounds."""
+        n, least = len(similarity.word_list(content)), self.config.near_match
         best, best_score = None, 0.0
-        for entry in sorted((v for _, v in self.contents.iterator() if v[3]), key=lambda v: (v[0], v[1])):
-            n = len(similarity.word_list(entry[3]))
-            if 2.0 * min(n, len(words)) < least * (n + len(words)):
-                continue
-            score = similarity.ratio(entry[3], content)
-            if score >= least and score > best_score:
+        able = [(turn, seq, h) for (h,), (turn, seq, words, size) in self.sizes.iterator() if size and 2.0 * min(words, n) >= least * (words + n)]
+        for turn, seq, h in sorted(able):
+            entry = self.contents.getValue((h,))
+            score = similarity.ratio_from(entry[3], content, least)
+            if score is not None and score >= least and score > best_score:
                 best, best_score = entry, score
         return best
 
     def remember(self, r: dict) -> None:
-        text = r["content"] if r["keeps_raw"] else ""
-        if self.contents.containsKey((r["hash"],)):
-            self.bytes -= len(self.contents.getValue((r["hash"],))[3].encode())
-        self.contents.updateValue((r["hash"],), (self.turn, int(r["seq"]), r["tool_name"], text))
-        self.bytes += len(text.encode())
+        self._keep(r["hash"], self.turn, int(r["seq"]), r["tool_name"], r["content"] if r["keeps_raw"] else "")
+
+    def _keep(self, key: str, turn: int, seq: int, tool: str, text: str) -> None:
+        if self.sizes.containsKey((key,)):
+            self.bytes -= self.sizes.getValue((key,))[3]
+        size = len(text.encode())
+        self.contents.updateValue((key,), (turn, seq, tool, text))
+        self.sizes.updateValue((key,), (turn, seq, len(similarity.word_list(text)), size))
+        self.bytes += size
         if self.bytes > self.config.max_session_bytes:  # the oldest go until half of the cap is left
-            for (h,), (_, _, _, old) in sorted(self.contents.iterator(), key=lambda e: e[1][1]):
+            for (h,), (_, _, _, old) in sorted(self.sizes.iterator(), key=lambda e: e[1][1]):
                 if self.bytes <= self.config.max_session_bytes // 2:
                     break
                 self.contents.removeKey((h,))
-                self.bytes -= len(old.encode())
+                self.sizes.removeKey((h,))
+                self.bytes -= old
 
     def close(self) -> None:
         pass
 
 
-def session_answers(events: DataFrame, config: Config = Config(), expire: bool = False) -> DataFrame:
+def session_answers(events: DataFrame, config: Config = Config(), expire: bool = False, stored: DataFrame | None = None) -> DataFrame:
     """Answers of a stream of ``EVENTS``; set the session's state store provider to ``STATE_STORE``.
 
     With ``expire``, entries not written for ``retention_days`` leave the state; the stream then runs on
-    processing time and does not end by itself.
+    processing time and does not end by itself. ``stored``: sessions (``sources.sessions.read_sessions``)
+    that the stream's first batch starts from.
     """
     mode = "ProcessingTime" if expire else "None"
-    return prepared(events, config).groupBy("session_id").transformWithStateInPandas(SessionProcessor(config, expire), outputStructType=ANSWERS, outputMode="Append", timeMode=mode)
+    initial = state_rows(stored).groupBy("session_id") if stored is not None else None
+    return prepared(events, config).groupBy("session_id").transformWithStateInPandas(SessionProcessor(config, expire), outputStructType=ANSWERS, outputMode="Append", timeMode=mode, initialState=initial)
