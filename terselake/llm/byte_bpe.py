@@ -36,12 +36,14 @@ from terselake.llm import common
 from terselake.llm.word_table import WordTable
 
 #: Bounds of a worker's stores.
-_STATES, _PAIRS, _PIECES = 120_000, 150_000, 100_000
+_STATES, _PAIRS, _PIECES, _STRETCHES = 150_000, 150_000, 60_000, 1_400_000
 #: Bytes read between two looks at the size of the state store, and the longest piece that is remembered.
 _BETWEEN, _LONGEST = 4096, 256
 _NEVER = 1 << 60
 _BYTE = [bytes((k,)) for k in range(256)]
 _IDS = struct.Struct("<I")
+#: The key of the first state, where no token is settled.
+_START = b"\xff" * 4
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -80,12 +82,14 @@ class Transducer:
 
     def _reset(self) -> None:
         self.number: dict[bytes, int] = {}
-        #: Of each state: its last settled token (-1 at the start), the bytes since then, the last token at each place
-        #: in them (-2 where no live history ends), and the places where a token may be under way, with their trie nodes.
-        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = []
+        #: Of each state: its key, its last settled token (-1 at the start), then the last token at each place of the bytes
+        #: since (-2 where no live history ends), the places where a token may be under way, and their trie nodes.
+        #: The key is the settled token, in four bytes, and the bytes since.
+        self.states: list[tuple] = []
         self.rests: list[bytes | None] = []
-        self.step: dict[int, tuple[int, bytes]] = _Steps(self)
-        self._state(-1, b"", (), (), ())
+        #: state << 8 | byte leads to the next state, with what is emitted on the way, if anything is.
+        self.step: dict[int, int | tuple[int, bytes]] = {}
+        self._state((_START, -1))
 
     def _merge(self, data: bytes, until: int) -> list[bytes]:
         """Plain BPE of one token's bytes, down to `until` parts: the least-ranked pair merges first, of equals the left one."""
@@ -103,17 +107,17 @@ class Transducer:
         parts = self._merge(data, 2) if len(data) > 1 else ()
         return (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        """Whether merging leaves the border between two tokens alone.
+    def _compatible(self, pair: int) -> bool:
+        """Whether merging leaves the border between two tokens alone; pair: (first + 1) << 32 | second.
 
         Their own merges are undone, the latest first. While two tokens face each other across the
         border, a merge over it would come before `limit`, the merge that made one of them part of
         a larger one; on equal ranks the left merge comes first.
         """
-        a, b = pair
+        a, b = (pair >> 32) - 1, pair & 0xFFFFFFFF
         if a == -1:
             return len(self.bytes_of[b]) == 1 or self.halves[b] is not None
-        if not (self.compatible[-1, a] and self.compatible[-1, b]):
+        if not (self.compatible[a] and self.compatible[b]):
             return False
         limit = _NEVER
         while True:
@@ -127,11 +131,10 @@ class Transducer:
             else:
                 limit, b = b + 1, of_b[0]
 
-    def _state(self, settled: int, pending: bytes, last: tuple[int, ...], places: tuple[int, ...], nodes: tuple[int, ...]) -> int:
-        key = _IDS.pack(settled & 0xFFFFFFFF) + pending
-        if (k := self.number.get(key)) is None:
-            k = self.number[key] = len(self.states)
-            self.states.append((settled, pending, last, places, nodes))
+    def _state(self, state: tuple) -> int:
+        if (k := self.number.get(state[0])) is None:
+            k = self.number[state[0]] = len(self.states)
+            self.states.append(state)
             self.rests.append(None)
         return k
 
@@ -143,15 +146,18 @@ class Transducer:
             at -= length[last[at - 1]]
         return out[::-1]
 
-    def transition(self, key: int) -> tuple[int, bytes]:
-        settled, pending, last, places, nodes = self.states[key >> 8]
-        byte, n, length = key & 255, len(pending), self.length
-        child, token_at, passed, token = self.child.get, self.token_at, self.passed, -2
+    def transition(self, key: int) -> int | tuple[int, bytes]:
+        known = self.states[key >> 8]
+        name, settled = known[:2]
+        byte, n, length = key & 255, len(name) - 4, self.length
+        live = (len(known) - 2 - n) // 2
+        last, places, nodes = known[2:2 + n], known[2 + n:2 + n + live], known[2 + n + live:]
+        child, token_at, passed, compatible, token = self.child.get, self.token_at, self.passed, self.compatible, -2
         under_way, reached = [], []
         for start, node in zip((*places, n), (*nodes, 0)):  # from the first on: the longest token first
             if (node := child(node << 8 | byte)) is None:
                 continue
-            if token == -2 and (t := token_at[node]) >= 0 and self.compatible[last[start - 1] if start else settled, t]:
+            if token == -2 and (t := token_at[node]) >= 0 and compatible[((last[start - 1] if start else settled) + 1) << 32 | t]:
                 token = t
             if passed[node]:
                 under_way.append(start)
@@ -167,11 +173,10 @@ class Transducer:
                 else:
                     other -= length[last[other - 1]]
             if not cut:
-                return self._state(settled, pending + _BYTE[byte], last, tuple(under_way), tuple(reached)), b""
+                return self._state((name + _BYTE[byte], settled, *last, *under_way, *reached))
         if cut == n:
-            if length[token] == n:
-                return self._state(token, b"", (), (), ()), _IDS.pack(token)
-            return self._state(token, b"", (), (), ()), b"".join(map(_IDS.pack, self._history(last, n)))
+            out = (token,) if length[token] == n else self._history(last, n)
+            return self._state((_IDS.pack(token), token)), b"".join(map(_IDS.pack, out))
         out = self._history(last, cut)
         rest, joined = [], {cut}  # places whose history misses the new boundary are dead
         for k in range(cut + 1, n + 1):
@@ -181,14 +186,16 @@ class Transducer:
                 rest.append(t)
             else:
                 rest.append(-2)
-        live = [(k - cut, node) for k, node in zip(under_way, reached) if k in joined]
-        return self._state(out[-1], pending[cut:] + _BYTE[byte], tuple(rest), tuple([k for k, _ in live]), tuple([x for _, x in live])), b"".join(map(_IDS.pack, out))
+        on = [(k - cut, node) for k, node in zip(under_way, reached) if k in joined]
+        state = (_IDS.pack(out[-1]) + name[4 + cut:] + _BYTE[byte], out[-1], *rest, *[k for k, _ in on], *[x for _, x in on])
+        return self._state(state), b"".join(map(_IDS.pack, out))
 
     def rest(self, state: int) -> bytes:
         """What is still to be emitted when the bytes end in a state."""
         if (found := self.rests[state]) is None:
-            last = self.states[state][2]
-            found = self.rests[state] = b"".join(map(_IDS.pack, self._history(last, len(last))))
+            known = self.states[state]
+            n = len(known[0]) - 4
+            found = self.rests[state] = b"".join(map(_IDS.pack, self._history(known[2:2 + n], n)))
         return found
 
     def encode(self, data: bytes) -> bytes:
@@ -198,26 +205,22 @@ class Transducer:
             if len(self.states) > _STATES or len(self.step) > 2 * _STATES:  # start again, from the state that has been reached
                 reached = self.states[state]
                 self._reset()
-                state = self._state(*reached)
+                state = self._state(reached)
             step = self.step
             for byte in data[at:at + _BETWEEN]:
-                state, emitted = step[state << 8 | byte]
-                if emitted:
+                key = state << 8 | byte
+                found = step.get(key)
+                if found is None:
+                    found = step[key] = self.transition(key)
+                if found.__class__ is int:
+                    state = found
+                else:
+                    state, emitted = found
                     out.append(emitted)
         out.append(self.rest(state))
         return b"".join(out)
 
 
-class _Steps(dict):
-    def __init__(self, owner: Transducer):
-        super().__init__()
-        self.owner = owner
-
-    def __missing__(self, key: int) -> tuple[int, bytes]:
-        value = self[key] = self.owner.transition(key)
-        return value
-
-
 class Utf8Stream:
     """Incremental UTF-8: feed bytes, get the characters that are complete; up to three bytes wait."""
 
@@ -248,7 +251,8 @@ class ByteBpe:
         self.pieces = regex.compile(pattern).findall
         self.usual = pattern == USUAL
         self.piece = common.BoundedMemo(lambda p: self.transducer.encode(p.encode("utf-8")), _PIECES)
-        self.table = WordTable(self._stretch, np.dtype("<u4"))
+        self.short = max(ranks.values()) < 1 << 16  # then the table holds ids of two bytes
+        self.table = WordTable(self._kept_stretch, np.dtype("<u2" if self.short else "<u4"), _STRETCHES)
 
     def _pieces(self, text: str) -> bytes:
         return b"".join([self.piece[p] if len(p) <= _LONGEST else self.transducer.encode(p.encode("utf-8")) for p in self.pieces(text)])
@@ -269,6 +273,10 @@ class ByteBpe:
                 return b"".join([self.piece[x] for x in m.groups() if x])
         return self._pieces(stretch)
 
+    def _kept_stretch(self, data: bytes, first: bool) -> bytes | None:
+        ids = self._stretch(data, first)
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if ids and self.short else ids
+
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each whole text.
 
@@ -278,7 +286,7 @@ class ByteBpe:
         """
         texts, again = tee(texts)
         for ids, text in zip(self.table.ids(texts), again, strict=True):
-            yield np.frombuffer(self._pieces(text), "<u4") if ids is None else ids
+            yield np.frombuffer(self._pieces(text), "<u4") if ids is None else ids.astype("<u4")
 
     def encode(self, text: str) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit numbers."""

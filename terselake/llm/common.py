@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -65,14 +67,19 @@ def kept_in_worker(key, make: Callable):
     different operators do not add up.
     """
     if key not in _kept:
-        _kept.clear()
+        forget()
         _kept[key] = make()
     return _kept[key]
 
 
 def forget() -> None:
-    """Drop what this worker keeps, before work that needs none of it."""
+    """Drop what this worker keeps, and give its memory back, before work that needs none of it."""
     _kept.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: freed memory stays with the worker
+        pass
 
 
 class BoundedMemo(dict):

@@ -3,8 +3,8 @@
 Texts are joined and hashed in numpy: a polynomial hash of every stretch comes from differences of
 one running sum, and an open-addressing table of 64-bit hashes leads to the ids, which lie in one
 pool. Only stretches that the table lacks go to the Python function behind it. Each entry keeps a
-second 64-bit hash, over other bases; a stretch whose first hash is in the table but whose second
-differs is computed, so only an equality of all 128 bits could give a stretch the ids of another.
+half of a second one, over other bases; a stretch whose first hash is in the table but whose second
+differs is computed, so only an equality of all 96 bits could give a stretch the ids of another.
 Stretches of over 64 bytes are never kept, they are computed.
 """
 
@@ -59,7 +59,7 @@ class WordTable:
     def _clear(self) -> None:
         size = 1 << self.bits
         self.keys = np.zeros(size, np.uint64)
-        self.checks = np.zeros(size, np.uint64)
+        self.checks = np.zeros(size, np.uint32)
         #: start in the pool << 12 | number of ids; the number _REFUSED: not to be split there.
         self.place = np.zeros(size, np.int64)
         self.pool = np.zeros(1 << 16, self.dtype)
@@ -106,6 +106,7 @@ class WordTable:
         starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(b)]])
         sizes = ends - starts
         h, check = _hashes(b, starts, ends)
+        check = (check >> np.uint64(32)).astype(np.uint32)
         doc_words = np.cumsum([0, *(t.count(b" ") + 1 for t in texts)])
         h[doc_words[:-1]] ^= _FIRST
         h = (h ^ (h >> np.uint64(32))) * _MIX
