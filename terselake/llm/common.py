@@ -40,20 +40,34 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string")) % HOLDOUT_FOLDS == HOLDOUT_RESIDUE, F.lit(False))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; Arrow batches keep the copy across the JVM border cheap."""
+#: Rows of a batch. Whole texts travel in batches, on both sides of the JVM border at once.
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS``; the session's setting is lowered to that."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+    """``map_arrow`` with a function of one batch; Arrow batches keep the copy across the JVM border cheap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str]:
-    """The column's texts one at a time (null counts as empty), without a list of all of them."""
-    for value in batch.column(batch.schema.get_field_index(column)):
+def texts_of(batch: pa.RecordBatch, column: str, field: str | None = None) -> Iterator[str]:
+    """The texts of a column, or of a field of a struct column, one at a time (null counts as empty), without a list of all of them."""
+    values = batch.column(batch.schema.get_field_index(column))
+    for value in values if field is None else values.field(values.type.get_field_index(field)):
         yield value.as_py() or ""
 
 
@@ -148,7 +162,8 @@ def labelled_sample(
                     cells.append(featurise(text))
             yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(cells, pa.binary())], ["place", "cell"])
 
-    found = texts.select("sample_id", "text", digest).join(F.broadcast(wanted), ["sample_id", "digest"]).select("place", "text").mapInArrow(run, "place int, cell binary")
+    found = texts.select("sample_id", "text", digest).join(F.broadcast(wanted), ["sample_id", "digest"]).select("place", "text")
+    found = map_arrow(found, run, "place int, cell binary")
     cells: list[bytes] = [b""] * len(chosen)
     for place, cell in found.dropDuplicates(["place"]).toLocalIterator():
         cells[place] = bytes(cell)

@@ -304,7 +304,7 @@ def _places(narrow: DataFrame, wanted: Bitmap, sizes: list[int], window: int) ->
             none = [pa.nulls(batch.num_rows, x) for x in types[4:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(n_words), pa.array(maybe), *none], names)
 
-    return narrow.mapInArrow(run, _FOUND)
+    return common.map_arrow(narrow, run, _FOUND)
 
 
 def _salted(places: DataFrame, rare: DataFrame) -> DataFrame:
@@ -380,10 +380,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, i
     wanted = bitmap(common.map_batches(bad.select("text"), lambda batch: [pa.RecordBatch.from_arrays([pa.array(first(batch.column(0).to_pylist()))], ["h"])], "h long"))
     total = bad.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0]
     sent = docs.sparkSession.sparkContext.broadcast(wanted)  # at most MAX_BITS
-    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("words"))
+    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
     def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        digests = [digest(t) for t in common.texts_of(batch, "words")]
+        digests = [digest(t) for t in common.texts_of(batch, "row", text_col)]
         near = sent.value.holds(first(digests).view(np.uint64))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(near)], ["row", "text", "near"])
 

@@ -325,7 +325,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_t
         if out[0]:
             yield batch_of()
 
-    ordered.mapInArrow(lay_out, _STORED).write.option("compression", "zstd").parquet(store.documents)
+    common.map_arrow(ordered, lay_out, _STORED).write.option("compression", "zstd").parquet(store.documents)
     sealed = _sealed(spark, store)
     sealed.write.parquet(store.manifest)
     for gone in (staged_path, repeated_path, marks_path):

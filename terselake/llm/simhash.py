@@ -74,11 +74,11 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``df`` with one column more: the fingerprint as a (signed) long."""
+def with_fingerprint(df: DataFrame, text_col: str, name: str, field: str | None = None) -> DataFrame:
+    """``df`` with one column more: the fingerprint, as a (signed) long, of a text column or of a field of a struct column."""
 
     def run(batch: pa.RecordBatch):
-        prints = pa.array([_signed(fingerprint(t)) for t in common.texts_of(batch, text_col)], pa.int64())
+        prints = pa.array([_signed(fingerprint(t)) for t in common.texts_of(batch, text_col, field)], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, name])
 
     return common.map_batches(df, run, StructType([*df.schema.fields, StructField(name, LongType())]))
@@ -259,7 +259,7 @@ def link_edges(prints: DataFrame) -> DataFrame:
         lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")),
     )
     spread = sliced.select("fp", "permuted", "turn", "block", F.explode(tasks).alias("t")).select("fp", "permuted", F.xxhash64("turn", "block", "t.i", "t.j").alias("task"))
-    edges = spread.repartition(parts, "task").mapInArrow(_partition_edges(by.shared), "a long, b long")
+    edges = common.map_arrow(spread.repartition(parts, "task"), _partition_edges(by.shared), "a long, b long")
     return edges.distinct()
 
 
@@ -333,7 +333,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     meet their places, which no two rows share.
     """
     columns = docs.columns
-    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    printed = common.materialise(with_fingerprint(marked, "text", "fp").drop("text"), "printed-docs").withColumns({"file": F.col("_metadata.file_name"), "line": F.col("_metadata.row_index")})
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), docs[id_col].cast("long").alias("id"))
+    printed = common.materialise(with_fingerprint(marked, "row", "fp", text_col), "printed-docs").withColumns({"file": F.col("_metadata.file_name"), "line": F.col("_metadata.row_index")})
     keepers = classes(printed.select("id", "fp", "file", "line"), ["file", "line"]).where("fp = keeper_fp").select("keeper.file", "keeper.line")
     return printed.join(keepers, ["file", "line"], "left_semi").select("row.*")

@@ -220,7 +220,7 @@ def _pass(vectors: DataFrame, sent: Broadcast, k: int) -> DataFrame:
             q, s, i = zip(*rows[at:at + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(s, pa.int64()), pa.array(i, pa.int64())], ["q", "score", "vec_id"])
 
-    return vectors.mapInArrow(run, "q int, score long, vec_id long")
+    return common.map_arrow(vectors, run, "q int, score long, vec_id long")
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
