@@ -172,7 +172,10 @@ def fit(examples: list[tuple[np.ndarray, int]], params: ConvParams = ConvParams(
 
 def train(docs: DataFrame, labels: DataFrame, params: ConvParams = ConvParams(), target: str = "quality") -> ConvModel:
     sample = common.labelled_sample(docs, labels, target, params.sample_rows, params.sample_bytes, lambda text: text.encode("utf-8", "surrogatepass"))
-    return fit([(chunks(data), label) for data, label in sample], params)
+    model = fit([(chunks(data), label) for data, label in sample], params)
+    del sample
+    common.forget()  # the driver gives back what the examples took
+    return model
 
 
 def score(docs: DataFrame, model: ConvModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

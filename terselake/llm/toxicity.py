@@ -136,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
     # sorted indices travel as compressed differences, which takes a third of the room on the driver
     packed = lambda text: zlib.compress(np.diff(features(text), prepend=0).astype("<u4").tobytes(), 1)
     sample = common.labelled_sample(docs, labels, target, params.sample_rows, params.sample_bytes, packed)
-    return fit([(np.cumsum(np.frombuffer(zlib.decompress(cell), "<u4"), dtype=np.int32), label) for cell, label in sample], params)
+    model = fit([(np.cumsum(np.frombuffer(zlib.decompress(cell), "<u4"), dtype=np.int32), label) for cell, label in sample], params)
+    del sample
+    common.forget()  # the driver gives back what the examples took
+    return model
 
 
 class Scorer:
