@@ -87,12 +87,18 @@ def kept_in_worker(key, make: Callable):
 
 
 def forget() -> None:
-    """Drop what this worker keeps, and give its memory back, before work that needs none of it."""
-    _kept.clear()
+    """Drop what this worker keeps, if anything, before work that needs none of it."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system."""
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library: freed memory stays with the worker
+    except (OSError, AttributeError):  # another C library: freed memory stays with the process
         pass
 
 

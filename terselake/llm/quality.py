@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ConvParams = ConvParams(),
     sample = common.labelled_sample(docs, labels, target, params.sample_rows, params.sample_bytes, lambda text: text.encode("utf-8", "surrogatepass"))
     model = fit([(chunks(data), label) for data, label in sample], params)
     del sample
-    common.forget()  # the driver gives back what the examples took
+    common.give_back()  # what the examples took on the driver
     return model
 
 

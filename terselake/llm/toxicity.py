@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
     sample = common.labelled_sample(docs, labels, target, params.sample_rows, params.sample_bytes, packed)
     model = fit([(np.cumsum(np.frombuffer(zlib.decompress(cell), "<u4"), dtype=np.int32), label) for cell, label in sample], params)
     del sample
-    common.forget()  # the driver gives back what the examples took
+    common.give_back()  # what the examples took on the driver
     return model
 
 
