@@ -19,8 +19,8 @@ def _field(raw: Column, path: str) -> Column:
 def parse_events(raw: DataFrame, kind: str, column: str = "value") -> DataFrame:
     """One row of each well-formed event of a kind (post, pre, stop); malformed ones are passed over.
 
-    post: session, tool, rendered arguments, response, error flag, text and cache key; pre: without the
-    response; stop: ``used_pct``, null if the event has no context window.
+    post: session, tool, arguments (rendered, and as they are written), response, error flag, text and cache
+    key; pre: without the response; stop: ``used_pct``, null if the event has no context window.
     """
     text = F.col(column)
     rows = raw.where(F.try_parse_json(text).isNotNull())
@@ -31,7 +31,7 @@ def parse_events(raw: DataFrame, kind: str, column: str = "value") -> DataFrame:
         used = F.when(window.isNotNull(), F.coalesce(_field(text, "$.context_window.used_percentage").cast("double"), F.lit(0.0)))
         return rows.select(*carried, session, used.alias("used_pct"))
     tool, arguments = F.coalesce(_field(text, "$.tool_name"), F.lit("")), _field(text, "$.tool_input")
-    base = rows.select(*carried, session, tool.alias("tool_name"), rendered_arguments_udf(arguments).alias("tool_input"), cache_key_udf(tool, arguments).alias("cache_key"), _field(text, "$.tool_response").alias("tool_response"))
+    base = rows.select(*carried, session, tool.alias("tool_name"), rendered_arguments_udf(arguments).alias("tool_input"), arguments.alias("raw_input"), cache_key_udf(tool, arguments).alias("cache_key"), _field(text, "$.tool_response").alias("tool_response"))
     if kind == "pre":
         return base.drop("tool_response")
     return base.withColumns({"is_error_response": response_is_error_udf("tool_response"), "content": response_text_udf("tool_response")})

@@ -201,3 +201,18 @@ def test_session_stream(spark, tmp_path):
         assert "near-match" in got["a", 6].output and got["a", 7].modified and not got["a", 7].emitted  # the call was cached
         assert ("a", 8) not in got
     assert got["b", 1].strategies == ["structure"]
+
+
+def test_hook_events_with_large_ids_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from terselake.oracle import ORACLE_SQL
+    from terselake.queries import QUERIES
+
+    con = duckdb.connect()
+    ids = "unnest([0, 999999, 1000000, 1000004, 1234567, 5999998, 123456789012])"
+    con.execute(f"COPY (SELECT {ids}::BIGINT AS event_id, 21::BIGINT AS user_id, 'view' AS event_type) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(ORACLE_SQL["hook_events"])
+    got = QUERIES["hook_events"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.count() == 7
